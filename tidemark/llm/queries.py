@@ -82,3 +82,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import packing
 
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@_register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import licenses
+
+    return licenses.report(_read(spark, sf_dir, "documents"))
+
+
+@_register
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import transcripts
+
+    return transcripts.report(_read(spark, sf_dir, "conversations"))
