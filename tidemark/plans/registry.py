@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold QUERIES and ORACLES dictionaries.
-MODULES = ("tidemark.operators.relational",)
+MODULES = tuple(f"tidemark.operators.{m}" for m in ("relational", "versioned", "maintenance", "sampling", "lifecycle", "search", "iotrace"))
 
 
 def _merged(name: str) -> dict:
