@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import weakref
 import zipfile
@@ -60,12 +62,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Seconds between sweeps: steps that take less leave little behind.
+SWEEP_EVERY = 8.0
+_swept = [0.0]
+
+
 def sweep(spark: SparkSession) -> None:
     """Let the driver drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    now = time.monotonic()
+    if now - _swept[0] >= SWEEP_EVERY:
+        _swept[0] = now
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 # ---- words of UTF-8 buffers ----

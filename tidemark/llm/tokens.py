@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,32 @@ from tidemark.llm.common import materialise, sweep
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White-space level of the byte-level pattern: an optional space and what follows it, or a run of white space that leaves its last character.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Distinct chunks kept by a worker; a fuller table starts anew, which costs time but changes no result.
-TABLE_CHUNKS = 600_000
+#: What keeps a text from the fast way to split it: runs of white space, and white space other than spaces and line feeds.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\0", "\t", "\r", "\x0b", "\x0c")
+_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _simple(text: str) -> bool:
+    """Only single spaces and line feeds, each between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS):
+        return False
+    return text.isascii() or not any(x in text for x in _WIDE)
+
+
+#: Letters that every Unicode version and normal form treats alike, then punctuation: two pre-tokens of either vocabulary.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Distinct chunks kept by a worker; a fuller table drops its less used half, which costs time but changes no result.
+TABLE_CHUNKS = 800_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet's rule: printable bytes stand for themselves, others for the characters from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class Chunks:
@@ -51,13 +76,29 @@ class Chunks:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.model = self.tok.model
         self.kind = kind
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()] if kind == "bytes" else []
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.flat, self.starts, self.lens = array("I"), array("q"), array("i")
+        self.used = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the better used half of a full table."""
+        n = len(self.lens)
+        if n <= TABLE_CHUNKS:
+            return
+        keep = np.zeros(n, bool)
+        keep[np.argpartition(-self.used, n // 2)[: n // 2]] = True
+        lens, starts, flat = np.frombuffer(self.lens, np.int32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32)
+        k = np.flatnonzero(keep)
+        new = np.cumsum(keep) - 1
+        size = lens[k].astype(np.int64)
+        ends = np.cumsum(size)
+        src = np.repeat(starts[k] - (ends - size), size) + np.arange(int(size.sum()))
+        at = {c: int(new[i]) for c, i in self.at.items() if keep[i]}
+        self.flat, self.starts, self.lens = array("I", flat[src].tobytes()), array("q", (ends - size).tobytes()), array("i", size.astype(np.int32).tobytes())
+        self.at, self.used = at, self.used[k] // 2
 
     def split(self, text: str) -> list[str]:
         if self.kind == "words":  # white space yields no ids in this vocabulary: any split there will do
@@ -66,51 +107,81 @@ class Chunks:
             if s in text:  # an added token ends the text before it
                 left, _, right = text.partition(s)
                 return [*self.split(left), s, *self.split(right)]
+        if _simple(text):
+            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return _CHUNK.findall(text)
 
+    def _encode(self, new: list[str]):
+        """Ids of each chunk: plain words by the model alone, all else by the whole tokenizer."""
+        tokenize, out, rest = self.model.tokenize, [], []
+        for i, c in enumerate(new):
+            m = _PLAIN.fullmatch(c, c[:1] == " ")
+            if m is None:
+                out.append(None)
+                rest.append(i)
+                continue
+            word, marks = m.groups()
+            if self.kind == "words":
+                word = word.lower()
+            elif c[0] == " ":
+                word = "Ġ" + word
+            if not word.isascii():
+                word = "".join(_LETTERS[b] if x == 0 else "Ġ" for x, b in ((0, b) for b in word.removeprefix("Ġ").encode()))
+                word = "Ġ" + word if self.kind == "bytes" and c[0] == " " else word
+            ids = [t.id for t in tokenize(word)]
+            if marks:
+                ids += [t.id for t in tokenize(marks)]
+            out.append(ids)
+        for i, e in zip(rest, self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def index(self, chunks: list[str]) -> np.ndarray:
         got = list(map(self.at.get, chunks))
         if None in got:
             new = list(dict.fromkeys(c for c, k in zip(chunks, got) if k is None))
             base = len(self.lens)
-            for k, e in enumerate(self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                ids = e.ids
+            for k, ids in enumerate(self._encode(new)):
                 self.starts.append(len(self.flat))
                 self.lens.append(len(ids))
                 self.flat.extend(ids)
                 self.at[new[k]] = base + k
             got = list(map(self.at.get, chunks))
-        return np.array(got, np.int64)
+        k = np.array(got, np.int64)
+        seen = np.bincount(k, minlength=len(self.lens))
+        seen[: len(self.used)] += self.used
+        self.used = seen
+        return k
 
     def counts(self, texts: list[str]) -> list[int]:
         """Ids of each text: table counts joined to the text's own frequencies, without its ids."""
-        if len(self.at) > TABLE_CHUNKS:
-            self.clear()
+        self.trim()
         bags = [Counter(self.split(t)) for t in texts]
         flat = [c for b in bags for c in b]
         if not flat:
             return [0] * len(texts)
-        pieces = np.frombuffer(self.lens, np.int32)[k] if len(k := self.index(flat)) else k
-        weighted = pieces * np.fromiter((n for b in bags for n in b.values()), np.int64, len(flat))
+        k = self.index(flat)
+        weighted = np.frombuffer(self.lens, np.int32)[k] * np.fromiter((n for b in bags for n in b.values()), np.int64, len(flat))
         at = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
         return np.diff(np.concatenate([[0], np.cumsum(weighted)])[at]).tolist()
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end, and their offsets (texts + 1)."""
-        if len(self.at) > TABLE_CHUNKS:
-            self.clear()
+        self.trim()
         parts = [self.split(t) for t in texts]
-        k = self.index([c for p in parts for c in p])
-        lens = np.frombuffer(self.lens, np.int32)[k].astype(np.int64) if len(k) else np.zeros(0, np.int64)
-        ends = np.cumsum(lens)
-        flat = np.frombuffer(self.flat, np.uint32)
-        src = np.repeat(np.frombuffer(self.starts, np.int64)[k] - (ends - lens), lens) + np.arange(int(lens.sum())) if len(k) else np.zeros(0, np.int64)
-        ids = flat[src]
-        cut = np.concatenate([[0], ends])[np.cumsum([len(p) for p in parts])]  # where each text ends
+        k = self.index(list(chain.from_iterable(parts)))
+        lens = np.frombuffer(self.lens, np.int32)[k] if len(k) else np.zeros(0, np.int32)
+        # the end id is one more chunk after each text, so that one gather writes everything
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(lens, dtype=np.int64)
+        cut = np.concatenate([[0], ends])[np.cumsum(n)]
         offs = np.concatenate([[0], cut + np.arange(1, len(texts) + 1)])
-        out = np.full(len(ids) + len(texts), end, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], cut])))] = ids
-        return out, offs
+        total = int(ends[-1]) if len(ends) else 0
+        shift = (np.frombuffer(self.starts, np.int64)[k] - (ends - lens)).astype(np.int32) if len(k) else np.zeros(0, np.int32)
+        src = np.repeat(shift, lens)
+        src += np.arange(total, dtype=np.int32)
+        ids = np.frombuffer(self.flat, np.uint32)[src] if total else np.zeros(0, np.uint32)
+        return np.insert(ids, cut, np.uint32(end)), offs
 
 
 def _rows(batches, block: int = 1 << 20):
@@ -169,7 +240,7 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, kind: str = "words
 #: Ids of a shard: one grammar each, small enough to build and to decode in a task's memory.
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement and pairs replaced in a round.
-ROUNDS, PAIRS = 5, 2048
+ROUNDS, PAIRS = 4, 2048
 
 
 def grammar(seq: np.ndarray, offs: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, room: int = 1 << 16, least: int = 6):
@@ -201,16 +272,21 @@ def grammar(seq: np.ndarray, offs: np.ndarray, first: int, rounds: int = ROUNDS,
         chosen = s[edge[top]]
         order = np.argsort(chosen)
         ranked = chosen[order]
-        at = np.minimum(np.searchsorted(ranked, code), len(ranked) - 1)
-        rank = np.where(inside & (ranked[at] == code), order[at], len(chosen))  # 0: most frequent
         none = len(chosen)
+        rank = np.full(len(code), none, np.int32)  # 0: most frequent
+        shift = 16 if code.dtype == np.uint32 else 32
+        left, right = np.zeros(room, bool), np.zeros(room, bool)
+        left[(chosen >> shift).astype(np.int64)] = True
+        right[(chosen & ((1 << shift) - 1)).astype(np.int64)] = True
+        near = np.flatnonzero(inside & left[seq[:-1]] & right[seq[1:]])  # few: the search below is the dear part
+        at = np.minimum(np.searchsorted(ranked, code[near]), none - 1)
+        hit = ranked[at] == code[near]
+        rank[near[hit]] = order[at[hit]]
         before, after = np.concatenate([[none], rank[:-1]]), np.concatenate([rank[1:], [none]])
-        win = (rank < none) & (rank < before) & (rank <= after)  # of overlapping occurrences, never two
-        used, new = np.unique(rank[win], return_inverse=True)
-        pos = np.flatnonzero(win)
-        left = seq[pos]
+        pos = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))  # of overlapping occurrences, never two
+        used, new = np.unique(rank[pos], return_inverse=True)
         pair = np.empty((len(used), 2), np.uint32)
-        pair[new, 0], pair[new, 1] = left, seq[pos + 1]
+        pair[new, 0], pair[new, 1] = seq[pos], seq[pos + 1]
         seq[pos] = first + n_rules + new
         keep = np.ones(len(seq), bool)
         keep[pos + 1] = False
@@ -260,7 +336,7 @@ def write_shards(docs: DataFrame, path: str, to: str, end: int = 2, kind: str =
             n = np.concatenate([np.diff(h[2]) for h in held])
             offs = np.concatenate([[0], np.cumsum(n)])
             width = 2 if first < 1 << 16 else 4
-            sym, at, rules, lens = grammar(seq, offs, first, room=1 << (8 * width) if width == 2 else 1 << 31)
+            sym, at, rules, lens = grammar(seq, offs, first, room=1 << (16 if width == 2 else 24))
             put = lambda x: x.astype(f"<u{width}").tobytes()
             row = (part, shard, first, len(seq), width, ids, n.tolist(), at.tolist(), put(rules), lens.astype("<u4").tobytes(), put(sym))
             shard += 1
