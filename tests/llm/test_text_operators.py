@@ -253,7 +253,7 @@ def test_grammar_round_trip():
             assert (tokens.expand(sym[at[i] : at[i + 1]], wide, 1000) == seq[offs[i] : offs[i + 1]]).all()
         for k, ln in enumerate(lens):
             assert len(tokens.expand(np.array([1000 + k]), wide, 1000)) == ln
-    assert len(sym) < len(seq)
+        assert len(sym) < 0.7 * n or v != 9
 
 
 def test_token_files(spark, docs, rows, none):

@@ -1,7 +1,7 @@
 """License scans: exact short phrases, and fuzzy notices by pigeonhole seeds and bounded-error matching.
 
 Texts are read as lower-cased words of letters, digits and characters beyond ASCII. Base phrases are counted wherever
-their words stand in a row. A notice of n characters may differ by n // 10 edits (one at least from 12 characters on):
+their words stand in a row. A notice of n characters may differ by n // 10 edits (one at least from 12 characters on, two from 16):
 of its edits-plus-one seeds one must occur unchanged, which locates candidates; the regex library's bounded-error
 matching then verifies the whole notice there and gives its span and edits.
 
@@ -62,7 +62,7 @@ def notices(table: dict[str, str] = NOTICES) -> list[Notice]:
     out = []
     for text, label in table.items():
         n = len(text)
-        k = max(n // 10, 1 if n >= 12 else 0)
+        k = max(n // 10, 2 if n >= 16 else 1 if n >= 12 else 0)
         cuts = [n * i // (k + 1) for i in range(k + 2)]
         out.append(Notice(text, label, k, tuple((text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:]))))
     return out
