@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import oracles
 from tidemark.llm.common import prepare, shared_dir
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op1_substring_dedup": oracles.SUBSTRING, "op2_near_dedup": oracles.NEAR}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
