@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.llm.common import _Q, _R, as_long, materialise, mix, text_blocks, words
 
@@ -135,20 +136,27 @@ def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable over edges (a, b). Labels travel along edges until none changes."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        # one step along an edge and, from there, the label of the label: paths halve
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("seen"))
-        step = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "seen").alias("new"))
-        jump = labels.select(F.col("node").alias("hub"), F.col("label").alias("far"))
-        step = step.join(jump, step.new == jump.hub, "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new"))
-        step = materialise(step)
-        done = step.where("new < label").isEmpty()
-        labels = step.select("node", F.col("new").alias("label"))
-        if done:
-            return labels
+    """node, label: the smallest node reachable over edges (a, b), for every node of an edge.
+
+    Each node points to its smallest smaller neighbour, pointers are followed by jumping (paths halve), and edges are
+    contracted to what still joins two labels. Edges are read once or twice in all, not once for each step of a path.
+    """
+    live = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    labels = live.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    while not live.isEmpty():
+        point = materialise(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+        while True:
+            far = point.select(F.col("node").alias("hub"), F.col("label").alias("far"))
+            step = materialise(point.join(far, point.label == far.hub, "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")))
+            point = step.select("node", "label")
+            if step.where("moved").isEmpty():
+                break
+        to = point.select(F.col("node").alias("old"), F.col("label").alias("new"))
+        labels = materialise(labels.join(to, labels.label == to.old, "left").select("node", F.coalesce("new", "label").alias("label")))
+        left = live.join(to, live.a == to.old, "left").select(F.coalesce("new", "a").alias("a"), "b")
+        both = left.join(to, left.b == to.old, "left").select("a", F.coalesce("new", "b").alias("b"))
+        live = materialise(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return labels
 
 
 def _jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -196,12 +204,10 @@ def _large_regions(members: DataFrame, percent: int, block: int) -> DataFrame:
     then rows outside the region's largest component. It ends when every row outside that component has been compared
     with all others, so no link between components is missed.
     """
-    spark = members.sparkSession
-    dealt = materialise(members.withColumn("n_blocks", F.ceil(F.sum("size").over(__import__("pyspark").sql.Window.partitionBy("region")) / block)).withColumn("block", F.expr("pmod(xxhash64(doc), n_blocks)")))
+    blocks = members.groupBy("region").agg(F.ceil(F.sum("size") / block).alias("n_blocks"))
+    dealt = materialise(members.join(blocks, "region").withColumn("block", F.expr("pmod(xxhash64(doc), n_blocks)")))
     state = materialise(dealt.select("region", "doc", F.col("doc").alias("label"), "degree", F.lit(False).alias("used")))
     links = None
-    from pyspark.sql.window import Window as W
-
     while True:
         sizes = state.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
         top = sizes.groupBy("region").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("top"))
@@ -265,7 +271,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int =
                 [rows.column("region"), rows.column("doc"), rows.column("degree"), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["region", "doc", "degree", "set", "size"]
             )
 
-    texts = base.join(nodes, base.doc_id == nodes.doc).select("region", "doc", "degree", "text").where("text is not null")
+    # always a merge join: the rows wanted are a share of all documents, which outgrows any broadcast
+    texts = base.join(nodes.hint("merge"), base.doc_id == nodes.doc).select("region", "doc", "degree", "text").where("text is not null")
     members = materialise(texts.mapInArrow(sets, "region long, doc long, degree long, set binary, size long").where("size > 0").dropDuplicates(["doc", "set"]))
     total = members.groupBy("region").agg(F.sum("size").alias("total"))
     large = materialise(total.where(F.col("total") > region).select("region"))
