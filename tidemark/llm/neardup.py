@@ -220,7 +220,7 @@ def _large_regions(members: DataFrame, percent: int, block: int) -> DataFrame:
         pivots = materialise(pivots.where((F.col("r1") <= 4) | ((F.col("r2") <= 12) & outside)).select("region", "doc"))
         if pivots.isEmpty():
             break
-        sets = pivots.join(dealt.select("region", "doc", "set", "n_blocks"), ["region", "doc"]).select("region", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).cast("long").alias("block"), F.col("doc").alias("pivot"), "set")
+        sets = materialise(pivots.join(dealt.select("region", "doc", "set", "n_blocks"), ["region", "doc"]).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.col("doc").alias("pivot"), "set"))
 
         def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             a, b = [], []
@@ -232,7 +232,7 @@ def _large_regions(members: DataFrame, percent: int, block: int) -> DataFrame:
                         b.append(d)
             return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")})
 
-        found = materialise(dealt.select("region", F.col("block").cast("long"), "doc", "set").groupBy("region", "block").cogroup(sets.groupBy("region", "block")).applyInPandas(compare, "a long, b long"))
+        found = materialise(dealt.select("region", "block", "doc", "set").groupBy("region", "block").cogroup(sets.groupBy("region", "block")).applyInPandas(compare, "a long, b long"))
         links = found if links is None else materialise(links.unionByName(found))
         labels = components(links)
         state = state.join(labels.withColumnRenamed("label", "new"), state.doc == labels.node, "left").drop("node").join(pivots.withColumn("now", F.lit(True)), ["region", "doc"], "left")
