@@ -145,28 +145,31 @@ def fit(voted: DataFrame, column: str = "_tm_v", rules: tuple[Rule, ...] = RULES
     return list(out.t)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """docs with the struct columns _tm_f (counts), _tm_base (failed the base), _tm_p (posterior of good) and _tm_keep."""
-    with_f = features(docs, text).withColumn("_tm_base", base_failed()).withColumn("_tm_v", votes(rules))
-    learned = fit(with_f.select("_tm_v"), rules=rules)
-    t = "array(" + ", ".join(f"{x!r}D" for x in learned) + ")"
-    judged = with_f.withColumn("_tm_p", F.expr(_posterior("_tm_v", t, len(rules))))
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs (or the named columns of it) with the columns _tm_f (counts), _tm_base (failed the base), _tm_p (posterior of good) and _tm_keep.
+
+    Counts are written once and read back: the votes name them many times, and an optimiser that merges the two steps
+    would count every text anew for each mention.
+    """
+    from tidemark.llm.common import materialise
+
+    kept = columns if columns is not None else docs.columns
+    counted = materialise(features(docs, text).select(*[F.col(f"`{c}`") for c in kept], "_tm_f")).withColumn("_tm_base", base_failed()).withColumn("_tm_v", votes(rules))
+    t = "array(" + ", ".join(f"{x!r}D" for x in fit(counted.select("_tm_v"), rules=rules)) + ")"
+    judged = counted.withColumn("_tm_p", F.expr(_posterior("_tm_v", t, len(rules))))
     return judged.withColumn("_tm_keep", ~F.col("_tm_base") & (F.col("_tm_p") >= threshold))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    from tidemark.llm.common import materialise
-
-    once = materialise(features(docs.select("doc_id", "text")).select("doc_id", "_tm_f"))
-    voted = once.withColumn("_tm_base", base_failed()).withColumn("_tm_v", votes(rules))
-    t = "array(" + ", ".join(f"{x!r}D" for x in fit(voted.select("_tm_v"), rules=rules)) + ")"
-    out = voted.withColumn("quality", F.expr(_posterior("_tm_v", t, len(rules))))
-    return out.select(
+    """The verdict on each row: its base counts, base_failed, kept, and the posterior as quality."""
+    # only the counts go to the intermediate table, not the texts
+    judged = judge(docs.select("doc_id", F.col("text").alias("_tm_text")), rules, threshold, "_tm_text", ["doc_id"])
+    return judged.select(
         "doc_id",
         *[F.col(f"_tm_f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("_tm_base").alias("base_failed"),
-        (~F.col("_tm_base") & (F.col("quality") >= threshold)).alias("kept"),
-        "quality",
+        F.col("_tm_keep").alias("kept"),
+        F.col("_tm_p").alias("quality"),
     )
 
 
