@@ -25,7 +25,7 @@ from tidemark.llm.common import mix
 BUCKETS, DIM = 1 << 18, 8
 GRAMS = (3, 4, 5)
 #: Bound of the training sample: at most so many labelled texts of each kind, the first by hash of doc_id.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Word logits kept by a worker.
 MEMO = 400_000
 #: Runs of letters and digits with a letter among them: numbers say nothing.
