@@ -45,7 +45,7 @@ def _simple(text: str) -> bool:
 #: Letters that every Unicode version and normal form treats alike, then punctuation: two pre-tokens of either vocabulary.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 #: Distinct chunks kept by a worker; a fuller table drops its less used half, which costs time but changes no result.
-TABLE_CHUNKS = 800_000
+TABLE_CHUNKS = 1_200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -240,7 +240,7 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, kind: str = "words
 #: Ids of a shard: one grammar each, small enough to build and to decode in a task's memory.
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement and pairs replaced in a round.
-ROUNDS, PAIRS = 4, 2048
+ROUNDS, PAIRS = 3, 3072
 
 
 def grammar(seq: np.ndarray, offs: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, room: int = 1 << 16, least: int = 6):
