@@ -299,4 +299,4 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """docs without the rows of a group but its first document. Of rows equal in doc_id one stays."""
     keep = classes(docs, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_tm_d")).distinct()
     rows = docs.withColumn("_tm_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    return rows.join(keep, "_tm_d", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(keep.hint("merge"), "_tm_d", "left_semi").dropDuplicates(["_tm_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])

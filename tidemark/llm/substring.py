@@ -175,7 +175,8 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs with the repeated words taken out of text (and n_chars brought up to date); texts that lose nothing stay as they are."""
     cut = removals(docs, window, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("_tm_d"), "_tm_t", F.col("kept").alias("_tm_kept"))
     rows = docs.withColumns({"_tm_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_tm_t": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = rows.join(cut, ["_tm_d", "_tm_t"], "left")
+    # always a merge join: what is cut is a share of all documents, which outgrows any broadcast
+    out = rows.join(cut.hint("merge"), ["_tm_d", "_tm_t"], "left")
     new = {"text": F.coalesce("_tm_kept", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_tm_kept").isNotNull(), F.length("_tm_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
