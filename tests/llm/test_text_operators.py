@@ -150,6 +150,21 @@ def test_near_duplicates(docs, rows, none, size):
         assert neardup.report(none, shingle=2).count() == 0
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(r.choice("abcdefgh") + str(r.randrange(900)) for _ in range(60))
+    near = lambda t: t + " tail"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (None, near(a)), (None, b), (None, c), (None, near(c)), (None, b), (5, d), (5, e), (5, d), (6, near(e)), (None, None), (None, " "), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(tuple(x) for x in neardup.keep_first(docs).collect())
+    one = next(t for t in (c, near(c)) if (None, t) in got)
+    assert got == collections.Counter([(1, a), (None, b), (None, one), (5, d), (5, e), (None, None), (None, " "), (None, "")])
+    out = neardup.report(docs).collect()
+    assert len(out) == len(rows) and all(x.component_id == 5 and not x.kept for x in out if x.doc_id == 6)
+    assert sorted((x.component_id or 0, x.kept) for x in out if x.doc_id is None and x.n_shingles) == [(0, False), (0, True), (0, True), (0, True), (1, False)]
+
+
 def test_near_duplicates_of_a_large_region(docs, rows):
     """Regions beyond one task's bound are dealt out in blocks with rounds of pivots: the same classes."""
     want = brute_near(rows, 2)

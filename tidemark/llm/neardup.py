@@ -1,6 +1,7 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-1. Every text becomes its set of word shingles; texts with equal sets are one class, represented by the smallest doc_id.
+1. Every text becomes its set of word shingles; texts with equal sets are one class and one node,
+   represented by its first row in the order of doc_id and text hash.
 2. A forest sorts the representatives by their signature in 32 orders. In each order neighbours are candidates where
    their longest common prefix has 6 values at least; below that depth the order goes on by further values, so a
    crowded region is walked in order of ever longer common prefixes and a sparse one costs nothing. A representative
@@ -13,8 +14,9 @@
    could still join two components is left out.
 
 Edge cases: texts without words (null, empty) have an empty set and link with nothing, also not with each other; texts
-with fewer words than a shingle are one shingle; an empty table gives no rows; rows that repeat a doc_id are one
-document if their texts are equal and else join through it, each row answered; a null doc_id counts as the largest.
+with fewer words than a shingle are one shingle; an empty table gives no rows; rows equal in doc_id and text are one
+document, each row answered; a doc_id with several texts is several documents, which link by their texts only; a null
+doc_id counts as the largest, and rows without one are told apart by their texts.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def _sign(batches, size: int):
         d1 = np.array([int(np.bitwise_xor.reduce(mix(s + np.uint64(_R)))) if len(s) else 0 for s in sets], np.uint64)
         d2 = np.array([int(np.add.reduce(mix(s ^ np.uint64(_Q)))) if len(s) else 0 for s in sets], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), as_long(d1), as_long(d2), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "d1", "d2", "sig"],
+            [rows.column("doc_id"), rows.column("_tm_t"), pa.array([len(s) for s in sets], pa.int64()), as_long(d1), as_long(d2), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+            ["doc_id", "_tm_t", "n_shingles", "d1", "d2", "sig"],
         )
 
 
@@ -240,13 +242,20 @@ def _large_regions(members: DataFrame, percent: int, block: int) -> DataFrame:
     return state.select(F.col("doc").alias("node"), "label")
 
 
+def _identity() -> list:
+    """doc_id and the hash of the text: rows equal in both are one document."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tm_t")]
+
+
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int = REGION_SHINGLES) -> DataFrame:
-    """One row for each row of docs: doc_id (null: the largest long), n_shingles, component_id."""
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
-    signed = materialise(base.mapInArrow(lambda it: _sign(it, shingle), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"))
+    """One row for each row of docs: doc_id (null: the largest long), _tm_t (hash of the text), n_shingles, component_id
+    (the smallest doc_id of the component) and kept (true for the component's first doc_id and _tm_t)."""
+    base = docs.select(*_identity(), "text")
+    signed = materialise(base.mapInArrow(lambda it: _sign(it, shingle), "doc_id long, _tm_t long, n_shingles long, d1 long, d2 long, sig binary"))
     keys = ["n_shingles", "d1", "d2"]
     full = signed.where("n_shingles > 0")
-    reps = materialise(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    # a class is a node by the hash of its set: doc_ids may be null or repeat
+    reps = materialise(full.groupBy(*keys).agg(F.min(F.struct("doc_id", "_tm_t")).alias("first"), F.first("sig").alias("sig")).withColumn("rep", F.xxhash64(*keys)))
     forest = reps.select("rep", "sig").mapInArrow(_orders, "key long, deep long, doc long")
     ordered = forest.repartitionByRange("key", "deep", "doc").sortWithinPartitions("key", "deep", "doc")
     near = materialise(ordered.mapInArrow(_neighbours, "a long, b long, key long"))
@@ -254,7 +263,6 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int =
     ends = near.where("b is null").select("key", F.col("a").alias("doc")).distinct()
     across = ends.join(ends.groupBy("key").agg(F.min("doc").alias("low")), "key").where("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b"))
     pairs = near.where("b is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # one doc_id may stand for several texts: any of its signatures will do to screen a pair, so all are tried
     sigs = reps.select("rep", "sig")
     agree = F.pandas_udf(_agreement, "double")
     floor = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / HASHES) ** 0.5
@@ -262,7 +270,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int =
     edges = materialise(left.where(agree("sa", "sb") >= floor).select("a", "b").distinct())
     regions = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("degree"))
-    nodes = materialise(regions.select(F.col("node").alias("doc"), F.col("label").alias("region")).join(degree, "doc"))
+    nodes = regions.select(F.col("node").alias("doc"), F.col("label").alias("region")).join(degree, "doc")
+    nodes = materialise(nodes.join(reps.select(F.col("rep").alias("doc"), "first.*"), "doc"))
 
     def sets(batches):
         for rows, data, offs in text_blocks(batches):
@@ -272,8 +281,8 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int =
             )
 
     # always a merge join: the rows wanted are a share of all documents, which outgrows any broadcast
-    texts = base.join(nodes.hint("merge"), base.doc_id == nodes.doc).select("region", "doc", "degree", "text").where("text is not null")
-    members = materialise(texts.mapInArrow(sets, "region long, doc long, degree long, set binary, size long").where("size > 0").dropDuplicates(["doc", "set"]))
+    texts = base.join(nodes.hint("merge"), ["doc_id", "_tm_t"]).select("region", "doc", "degree", "text").where("text is not null")
+    members = materialise(texts.mapInArrow(sets, "region long, doc long, degree long, set binary, size long").where("size > 0").dropDuplicates(["doc"]))
     total = members.groupBy("region").agg(F.sum("size").alias("total"))
     large = materialise(total.where(F.col("total") > region).select("region"))
 
@@ -283,20 +292,25 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, region: int =
 
     small = members.join(large, "region", "left_anti").groupBy("region").applyInPandas(link, "node long, label long")
     labels = small if large.isEmpty() else small.unionByName(_large_regions(members.join(large, "region"), percent, region // 4))
-    # A doc_id with several texts, and equal sets under several doc_ids, tie components together.
-    labels = materialise(labels.groupBy("node").agg(F.min("label").alias("label")))
-    rep_of = signed.join(reps.drop("sig"), keys, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    return rep_of.join(labels, rep_of.rep == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
+    labels = materialise(labels.join(reps.select(F.col("rep").alias("node"), "first"), "node"))
+    heads = labels.groupBy("label").agg(F.min("first").alias("head"))
+    heads = labels.select("node", "label").join(heads, "label").select("node", "head")
+    own = F.struct("doc_id", "_tm_t")
+    rep_of = signed.drop("sig").join(reps.drop("sig"), keys, "left")
+    rep_of = rep_of.join(heads, rep_of.rep == heads.node, "left").withColumn("head", F.coalesce("head", "first", own))
+    return rep_of.select("doc_id", "_tm_t", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("head") == own).alias("kept"))
 
 
 def report(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     out = classes(docs, shingle, percent)
-    same = F.col("doc_id") == F.col("component_id")
-    return out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"), same.alias("kept"))
+    return out.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(_LAST)).alias("component_id"), "kept")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows of a group but its first document. Of rows equal in doc_id one stays."""
-    keep = classes(docs, shingle, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_tm_d")).distinct()
-    rows = docs.withColumn("_tm_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    return rows.join(keep.hint("merge"), "_tm_d", "left_semi").dropDuplicates(["_tm_d"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows of a group but its first document. Of rows equal in doc_id and text one stays; rows without
+    doc_id and words have nothing to be told apart or compared by, and all stay."""
+    key, names = ["_tm_d", "_tm_t"], [F.col(f"`{c}`") for c in docs.columns]
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keep = classes(docs.where(~bare), shingle, percent).where("kept").select(F.col("doc_id").alias("_tm_d"), "_tm_t").distinct()
+    rows = docs.where(~bare).withColumns(dict(zip(key, _identity())))
+    return rows.join(keep.hint("merge"), key, "left_semi").dropDuplicates(key).select(*names).unionByName(docs.where(bare))
