@@ -453,6 +453,30 @@ def test_transcripts_are_bounded(spark):
     assert sorted(r.block for r in got) == [0, 1, 2, 3, 4]
 
 
+def test_transcripts_carry_the_state_over_cuts(spark, monkeypatch):
+    """Rows of long and crowded conversations, joined in order, are the turns of the unsplit transcript."""
+    r = random.Random(4)
+    rows = []
+    for c in (0, 1, 2, 3, 4, None):
+        for t in range(140):
+            body = r.choice(["so it is", "why is that?", "yes", "a line\nand another\n", "\n", "word " * 30])
+            rows.append((c, r.choice([t, t, None, 7]), r.choice(["user", "assistant", "System"]), body))
+    rows = list(dict.fromkeys(rows))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    monkeypatch.setattr(transcripts, "TURNS", 10**6)
+    whole = {x.conv_id: x for x in transcripts.report(d).collect()}
+    monkeypatch.setattr(transcripts, "TURNS", 64)
+    monkeypatch.setattr(transcripts, "ROWS", 9)
+    got = collections.defaultdict(list)
+    for x in transcripts.report(d).collect():
+        got[x.conv_id].append(x)
+    assert set(got) == set(whole) and min(len(v) for v in got.values()) > 5
+    for c, v in got.items():
+        v.sort(key=lambda x: (x.block, x.part))
+        assert "".join(x.rendered for x in v) == whole[c].rendered and sum(x.n_turns for x in v) == whole[c].n_turns
+        assert ",".join(x.roles for x in v if x.roles) == whole[c].roles
+
+
 def test_very_long_text(spark):
     """One text of some megabytes beside short ones, through the scanners that work in blocks."""
     r = random.Random(2)
