@@ -120,3 +120,12 @@ def test_missing_object_stops_collection(spark, tmp_path):
     s.backend.delete(s.view().manifest["runs"][0]["object"], True)
     with pytest.raises(StoreError):
         s.collect()
+
+
+def test_differential_check_compares_values_and_groups(spark):
+    from tidemark.operators.maintenance import agreement
+
+    kind = "o_orderstatus string, n long, bytes long, fingerprint long"
+    a = spark.createDataFrame([("F", 2, 9, 5), ("O", 1, 4, 7), ("P", 1, 3, 3), (None, 1, 1, 1)], kind)
+    b = spark.createDataFrame([("F", 2, 9, 5), ("O", 1, 4, 8), ("Q", 1, 3, 3), (None, 1, 1, 1)], kind)
+    assert {x.o_orderstatus: x.same for x in agreement(a, b).collect()} == {"F": True, "O": False, "P": False, "Q": False, None: True}
