@@ -2,11 +2,12 @@
 
 A text is split at white space the way the tokenizer itself splits it, so that every chunk is encoded alone with the
 same ids as in place; each distinct chunk (a pre-token with its leading space) goes through the tokenizer once for each
-bounded table, and texts are then sums or gathers over that table.
+bounded table, and texts are then sums or concatenations over that table.
 
 Edge cases: null texts are empty ones (no ids besides the end id, where one is added); an empty table gives no rows;
-repeated doc_ids give a row each, in (doc_id, text) order in the files; other input columns are ignored. Texts of any
-length are encoded whole.
+repeated rows and doc_ids give a row each, in (doc_id, text) order in the files, null doc_ids first; other input columns
+are ignored. Texts of any length, and special strings however often they stand in one, are encoded whole; a document
+longer than a shard is a shard of its own.
 """
 
 from __future__ import annotations
@@ -14,52 +15,117 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.llm.common import materialise, sweep
+from tidemark.llm.common import _BYTE, _P, _Q, _R, buffers, mix, run_hashes, spans, sweep, text_blocks
 
 #: The tokenizer's white space (the Unicode property White_Space).
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White-space level of the byte-level pattern: an optional space and what follows it, or a run of white space that leaves its last character.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: What keeps a text from the fast way to split it: runs of white space, and white space other than spaces and line feeds.
-_RUNS = ("  ", " \n", "\n ", "\n\n", "\0", "\t", "\r", "\x0b", "\x0c")
-_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def _simple(text: str) -> bool:
-    """Only single spaces and line feeds, each between other characters."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _RUNS):
-        return False
-    return text.isascii() or not any(x in text for x in _WIDE)
-
-
-#: Letters that every Unicode version and normal form treats alike, then punctuation: two pre-tokens of either vocabulary.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-#: Distinct chunks kept by a worker; a fuller table drops its less used half, which costs time but changes no result.
-TABLE_CHUNKS = 1_200_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The byte-level alphabet's rule: printable bytes stand for themselves, others for the characters from 256 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(256, 512))
-    return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
-
+#: What keeps a text from the fast way to split it: white space at its ends, runs of it, and any but spaces and line feeds.
+_ODD = "\\A[ \n]|[ \n]\\z|  | \n|\n |\n\n|[\0\t\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Distinct chunks of a worker's table; a fuller one drops the half that has gone unused for longest, which changes no result.
+TABLE_CHUNKS = 1_000_000
+#: Chunks that go through the tokenizer as one text, with a separator after each.
+JOINED = 64
+#: Bytes of a chunk from which on it is encoded wherever it stands, without the table.
+LONG = 1 << 16
+
+
+class Table:
+    """Ids of chunks by 64-bit hash, with 32 bits of a second hash to compare: open addressing over flat arrays, looked
+    up and filled for many chunks at once. An entry costs about 50 bytes, a fifth of what strings in a dictionary do."""
+
+    def __init__(self, ids: np.dtype, limit: int):
+        self.limit = limit
+        self.bits = max(10, (2 * limit).bit_length())
+        self._clear(ids)
+
+    def _clear(self, ids: np.dtype) -> None:
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.zeros(1 << self.bits, np.int32)
+        self.n = self.clock = 0
+        self.hash, self.check, self.size, self.used = (np.zeros(0, t) for t in (np.uint64, np.uint32, np.int32, np.int32))
+        self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, ids)
+        self.n_flat = 0
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            k = self.key[slot]
+            same = k == h[left]
+            out[left[same]] = self.entry[slot[same]]
+            go = ~same & (k != 0)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        hit = np.flatnonzero(out >= 0)
+        out[hit[self.check[out[hit]] != check[hit]]] = -1
+        self.clock += 1
+        self.used[out[out >= 0]] = self.clock
+        return out
 
-_LETTERS = _byte_letters()
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, len(x) + len(x) // 2 + 1024) - len(x), x.dtype)])
+
+    def fill(self, h: np.ndarray, check: np.ndarray, size: np.ndarray, flat: np.ndarray, used: np.ndarray) -> None:
+        """Enter different chunks, of so many ids each, behind those that are there."""
+        while 3 * (self.n + len(h)) > 2 * len(self.key):  # one block alone may hold more than the limit
+            self.bits += 1
+            self.key, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._place(self.hash[: self.n], np.arange(self.n, dtype=np.int32))
+        n, m = self.n + len(h), self.n_flat + len(flat)
+        self.hash, self.check, self.size, self.used, self.start = (self._room(x, n) for x in (self.hash, self.check, self.size, self.used, self.start))
+        self.flat = self._room(self.flat, m)
+        new = slice(self.n, n)
+        self.hash[new], self.check[new], self.size[new], self.used[new] = h, check, size, used
+        self.start[new] = self.n_flat + np.cumsum(size, dtype=np.int64) - size
+        self.flat[self.n_flat : m] = flat
+        self._place(h, np.arange(self.n, n, dtype=np.int32))
+        self.n, self.n_flat = n, m
+
+    def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.key[slot] == 0
+            self.key[slot[free]] = h[free]  # of several for one place the last stays, the others go on
+            won = free & (self.key[slot] == h)
+            self.entry[slot[won]] = entry[won]
+            h, entry, slot = h[~won], entry[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def forget(self) -> None:
+        used = self.used[: self.n]
+        keep = np.sort(np.argpartition(-used, self.n // 2)[: self.n // 2])
+        old = self.hash[keep], self.check[keep], self.size[keep], self.ids(keep), used[keep]
+        clock = self.clock
+        self._clear(self.flat.dtype)
+        self.fill(*old)
+        self.clock = clock
+
+    def ids(self, entries: np.ndarray) -> np.ndarray:
+        """Ids of the entries, one after another."""
+        size = self.size[entries].astype(np.int64)
+        ends = np.cumsum(size)
+        src = np.repeat(self.start[entries] - (ends - size), size)
+        src += np.arange(len(src))
+        return self.flat[src]
 
 
 class Chunks:
-    """Ids of distinct chunks in one flat array; kept by the worker process from task to task."""
+    """Ids of distinct chunks; kept by the worker process from task to task.
+
+    New chunks are encoded many at once: each followed by a separator that the tokenizer always splits off as one id and
+    that no chunk holds. Should separators come out in another number, chunks are encoded one by one.
+    """
 
     _own: dict = {}
 
@@ -76,130 +142,167 @@ class Chunks:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
         self.kind = kind
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()] if kind == "bytes" else []
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.lens = array("I"), array("q"), array("i")
-        self.used = np.zeros(0, np.int64)
-
-    def trim(self) -> None:
-        """Keep the better used half of a full table."""
-        n = len(self.lens)
-        if n <= TABLE_CHUNKS:
-            return
-        keep = np.zeros(n, bool)
-        keep[np.argpartition(-self.used, n // 2)[: n // 2]] = True
-        lens, starts, flat = np.frombuffer(self.lens, np.int32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32)
-        k = np.flatnonzero(keep)
-        new = np.cumsum(keep) - 1
-        size = lens[k].astype(np.int64)
-        ends = np.cumsum(size)
-        src = np.repeat(starts[k] - (ends - size), size) + np.arange(int(size.sum()))
-        at = {c: int(new[i]) for c, i in self.at.items() if keep[i]}
-        self.flat, self.starts, self.lens = array("I", flat[src].tobytes()), array("q", (ends - size).tobytes()), array("i", size.astype(np.int32).tobytes())
-        self.at, self.used = at, self.used[k] // 2
+        specials = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        special = "|".join(map(re.escape, specials))
+        self.special = re.compile(f"({special})") if specials else None
+        self.odd = f"{_ODD}|{special}" if specials else _ODD
+        self.type = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) < 1 << 16 else "<u4")
+        # white space but for the byte-level kind leaves no id: there a digit stands alone
+        self.sep, self.bar = ("\n", "\n") if kind == "bytes" else (" 7 ", "7")
+        got = self._plain([self.sep])[0]
+        self.sep_id = int(got[0]) if len(got) == 1 else None
+        self.table = Table(self.type, TABLE_CHUNKS)
 
     def split(self, text: str) -> list[str]:
         if self.kind == "words":  # white space yields no ids in this vocabulary: any split there will do
             return text.replace("\n", " ").split(" ")
-        for s in self.specials:
-            if s in text:  # an added token ends the text before it
-                left, _, right = text.partition(s)
-                return [*self.split(left), s, *self.split(right)]
-        if _simple(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if self.special is not None and self.special.search(text):  # an added token ends the text before it
+            parts = self.special.split(text)
+            return [c for i, x in enumerate(parts) for c in ((x,) if i % 2 else _CHUNK.findall(x))]
         return _CHUNK.findall(text)
 
-    def _encode(self, new: list[str]):
-        """Ids of each chunk: plain words by the model alone, all else by the whole tokenizer."""
-        tokenize, out, rest = self.model.tokenize, [], []
-        for i, c in enumerate(new):
-            m = _PLAIN.fullmatch(c, c[:1] == " ")
-            if m is None:
-                out.append(None)
-                rest.append(i)
-                continue
-            word, marks = m.groups()
-            if self.kind == "words":
-                word = word.lower()
-            elif c[0] == " ":
-                word = "Ġ" + word
-            if not word.isascii():
-                word = "".join(_LETTERS[b] if x == 0 else "Ġ" for x, b in ((0, b) for b in word.removeprefix("Ġ").encode()))
-                word = "Ġ" + word if self.kind == "bytes" and c[0] == " " else word
-            ids = [t.id for t in tokenize(word)]
-            if marks:
-                ids += [t.id for t in tokenize(marks)]
-            out.append(ids)
-        for i, e in zip(rest, self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
-            out[i] = e.ids
+    def _split_all(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Chunks of all texts, where each text's begin (texts + 1), and which text that is: those that can be split at
+        every space and line feed stand first."""
+        if self.kind == "words":
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            return lists.flatten(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), np.arange(len(texts))
+        odd = pc.match_substring_regex(texts, self.odd)
+        cut = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(odd)), " ", "\0 "), "\n", "\0\n\0")
+        lists = pc.split_pattern(cut, "\0")
+        flags = odd.to_numpy(zero_copy_only=False)
+        rest = [self.split(texts[i].as_py()) for i in np.flatnonzero(flags).tolist()]
+        flat = pa.concat_arrays([lists.flatten(), pa.array([c for x in rest for c in x], pa.string())])
+        n = np.concatenate([np.diff(lists.offsets.to_numpy()), np.fromiter(map(len, rest), np.int64, len(rest))])
+        return flat, np.concatenate([[0], np.cumsum(n)]), np.concatenate([np.flatnonzero(~flags), np.flatnonzero(flags)])
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._plain(chunks)
+        return np.array(list(map(len, ids)), np.int32), np.concatenate([np.zeros(0, self.type), *ids])
+
+    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each chunk, and all ids; none of the chunks holds a separator or a special string."""
+        if self.sep_id is None or not new:
+            return self._each(new)
+        groups = (new[i : i + JOINED] for i in range(0, len(new), JOINED))
+        ids = np.concatenate(self._plain([self.sep.join([*g, ""]) for g in groups]))
+        bar = ids == self.sep_id
+        at = np.flatnonzero(bar)
+        return ((np.diff(at, prepend=-1) - 1).astype(np.int32), ids[~bar]) if len(at) == len(new) else self._each(new)
+
+    def _entries(self, chunks: pa.Array) -> np.ndarray:
+        """Entry of each of these different chunks (LONG bytes at most) in the table, where new ones are entered."""
+        h, check = _hashes(*buffers(chunks))
+        at = self.table.find(h, check)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            if self.table.n and self.table.n + len(gaps) > self.table.limit:  # entries move: look all up again after that
+                self.table.forget()
+                at = self.table.find(h, check)
+                gaps = np.flatnonzero(at < 0)
+            new = _strings(chunks.take(pa.array(gaps)))
+            alone = np.array([not c or self.bar in c or (self.special is not None and "<" in c) for c in new])
+            for which, how in ((~alone, self._encode), (alone, self._each)):
+                k = gaps[which]
+                if len(k):
+                    size, flat = how([new[i] for i in np.flatnonzero(which).tolist()])
+                    at[k] = self.table.n + np.arange(len(k))
+                    self.table.fill(h[k], check[k], size, flat, np.full(len(k), self.table.clock, np.int32))
+        return at
+
+    def _distinct(self, texts: pa.Array):
+        """Sizes and ids of the different chunks of these texts, the chunks of all texts as places among them, and where
+        each text's begin, as _split_all has it."""
+        flat, begin, row = self._split_all(texts)
+        coded = flat.dictionary_encode()
+        words, place = coded.dictionary, coded.indices.to_numpy()
+        long = np.flatnonzero(pc.binary_length(words).to_numpy() > LONG)
+        if not len(long):
+            at = self._entries(words)
+            return self.table.size[at].astype(np.int64), self.table.ids(at), place, begin, row
+        short = np.setdiff1d(np.arange(len(words)), long)
+        at, (size, ids) = self._entries(words.take(pa.array(short))), self._each([words[i].as_py() for i in long.tolist()])
+        order = np.argsort(np.concatenate([short, long]), kind="stable")
+        sizes = np.concatenate([self.table.size[at], size]).astype(np.int64)
+        both, ends = np.concatenate([self.table.ids(at), ids]), np.cumsum(sizes)
+        n = sizes[order]
+        src = np.repeat((ends - sizes)[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return n, both[src], place, begin, row
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Ids of each text: the chunks' counts joined to the text's own frequencies of them, without its ids."""
+        size, _, place, begin, row = self._distinct(texts)
+        out = np.zeros(len(texts), np.int64)
+        for i, a, b in zip(row.tolist(), begin, begin[1:]):
+            which, times = np.unique(place[a:b], return_counts=True)
+            out[i] = size[which] @ times
         return out
 
-    def index(self, chunks: list[str]) -> np.ndarray:
-        got = list(map(self.at.get, chunks))
-        if None in got:
-            new = list(dict.fromkeys(c for c, k in zip(chunks, got) if k is None))
-            base = len(self.lens)
-            for k, ids in enumerate(self._encode(new)):
-                self.starts.append(len(self.flat))
-                self.lens.append(len(ids))
-                self.flat.extend(ids)
-                self.at[new[k]] = base + k
-            got = list(map(self.at.get, chunks))
-        k = np.array(got, np.int64)
-        seen = np.bincount(k, minlength=len(self.lens))
-        seen[: len(self.used)] += self.used
-        self.used = seen
-        return k
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Ids of each text: table counts joined to the text's own frequencies, without its ids."""
-        self.trim()
-        bags = [Counter(self.split(t)) for t in texts]
-        flat = [c for b in bags for c in b]
-        if not flat:
-            return [0] * len(texts)
-        k = self.index(flat)
-        weighted = np.frombuffer(self.lens, np.int32)[k] * np.fromiter((n for b in bags for n in b.values()), np.int64, len(flat))
-        at = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-        return np.diff(np.concatenate([[0], np.cumsum(weighted)])[at]).tolist()
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by end, and their offsets (texts + 1)."""
-        self.trim()
-        parts = [self.split(t) for t in texts]
-        k = self.index(list(chain.from_iterable(parts)))
-        lens = np.frombuffer(self.lens, np.int32)[k] if len(k) else np.zeros(0, np.int32)
-        # the end id is one more chunk after each text, so that one gather writes everything
-        n = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.cumsum(lens, dtype=np.int64)
-        cut = np.concatenate([[0], ends])[np.cumsum(n)]
-        offs = np.concatenate([[0], cut + np.arange(1, len(texts) + 1)])
-        total = int(ends[-1]) if len(ends) else 0
-        shift = (np.frombuffer(self.starts, np.int64)[k] - (ends - lens)).astype(np.int32) if len(k) else np.zeros(0, np.int32)
-        src = np.repeat(shift, lens)
-        src += np.arange(total, dtype=np.int32)
-        ids = np.frombuffer(self.flat, np.uint32)[src] if total else np.zeros(0, np.uint32)
-        return np.insert(ids, cut, np.uint32(end)), offs
-
-
-def _rows(batches, block: int = 1 << 20):
-    """(doc_ids, texts) in blocks of about so many characters."""
-    for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        keep: tuple[list, list] = ([], [])
-        size = 0
-        for d, t in zip(ids, texts):
-            t = t.as_py() or ""
-            keep[0].append(d)
-            keep[1].append(t)
-            size += len(t)
-            if size >= block:
-                yield keep
-                keep, size = ([], []), 0
-        if keep[0]:
-            yield keep
+        size, ids, place, begin, row = self._distinct(texts)
+        width = self.type.itemsize
+        offs = np.concatenate([[0], np.cumsum(size)]) * width
+        stored = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(ids)])
+        data, at = _bytes(stored.take(pa.array(place)))
+        at = at[begin].tolist()
+        rows: list = [b""] * len(texts)
+        for i, a, b in zip(row.tolist(), at, at[1:]):
+            rows[i] = data[a:b]
+        close = np.array([end], self.type).tobytes()
+        out = b"".join([x for r in rows for x in (r, close)])
+        ends = np.cumsum([len(r) + width for r in rows], dtype=np.int64) // width
+        return np.frombuffer(out, self.type).astype(np.uint32), np.concatenate([[0], ends])
+
+
+def _hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of each string, the first never 0."""
+    h, check = np.empty(len(offs) - 1, np.uint64), np.empty(len(offs) - 1, np.uint32)
+    for lo, hi in spans(offs):
+        piece, s, e = _BYTE[data[offs[lo] : offs[hi]]], offs[lo:hi] - offs[lo], offs[lo + 1 : hi + 1] - offs[lo]
+        h[lo:hi] = mix(run_hashes(piece, s, e, _P) + (e - s).astype(np.uint64) * np.uint64(_R)) | np.uint64(1)
+        check[lo:hi] = (mix(run_hashes(piece, s, e, _Q) ^ np.uint64(_R)) >> np.uint64(32)).astype(np.uint32)
+    return h, check
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, which makes strings one by one."""
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), "\0")[0].as_py()
+    out = whole.split("\0") if len(column) else []
+    return out if len(out) == len(column) else column.to_pylist()
+
+
+def _bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """Data of a large_binary column and the offsets of its rows (n + 1)."""
+    _, offs, data = column.buffers()
+    at = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), at
+
+
+#: Bytes of text that go through the table at once: the larger, the fewer different chunks a byte.
+GATHERED = 3 << 20
+
+
+def _texts(batches):
+    """(rows, texts without nulls) of about GATHERED bytes, a row at least."""
+    held, size = [], 0
+    for rows, data, _ in text_blocks(batches, limit=GATHERED):
+        held.append(rows)
+        size += len(data)
+        if size >= GATHERED:
+            yield _whole(held)
+            held, size = [], 0
+    if held:
+        yield _whole(held)
+
+
+def _whole(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, pa.Array]:
+    rows = pa.concat_batches(held)
+    return rows, rows.column("text").fill_null("")
 
 
 def count(docs: DataFrame, path: str, limit: int = 512, kind: str = "bytes") -> DataFrame:
@@ -207,11 +310,9 @@ def count(docs: DataFrame, path: str, limit: int = 512, kind: str = "bytes") ->
 
     def run(batches):
         table = Chunks.of(path, kind)
-        for ids, texts in _rows(batches):
-            n = table.counts(texts)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
-            )
+        for rows, texts in _texts(batches):
+            n = pa.array(table.counts(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
@@ -221,8 +322,9 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, kind: str = "words
 
     def run(batches):
         table = Chunks.of(path, kind)
-        for ids, texts in _rows(batches):
+        for rows, texts in _texts(batches):
             flat, offs = table.encode(texts, end)
+            ids = rows.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
             for i, d in enumerate(ids):
                 a, b = int(offs[i]), int(offs[i + 1])
@@ -239,59 +341,66 @@ def pieces(docs: DataFrame, path: str, length: int, end: int, kind: str = "words
 
 #: Ids of a shard: one grammar each, small enough to build and to decode in a task's memory.
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement and pairs replaced in a round.
-ROUNDS, PAIRS = 3, 3072
+#: A round of pair replacement takes this share of the nonterminals left, or so many at least: few rounds, and late
+#: ones can still pair what early ones made.
+SHARE, FLOOR = 4, 1024
+#: Places of the table by which a round finds its pairs; of two pairs in one place the rarer waits for a later round.
+SLOTS = 1 << 18
 
 
-def grammar(seq: np.ndarray, offs: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, room: int = 1 << 16, least: int = 6):
+def grammar(seq: np.ndarray, offs: np.ndarray, first: int, room: int = 1 << 16, least: int = 6):
     """Re-Pair: in each round the most frequent id pairs become nonterminals (first, first + 1, ...), leftmost and more
-    frequent occurrences before others; pairs never cross a document's end. Returns symbols, document offsets in
-    symbols, rules (n, 2), and the expansion length of each rule."""
+    frequent occurrences before others, until no pair occurs least times or the nonterminals below room are used up.
+    Pairs never cross a document's end. Returns symbols, document offsets in symbols, rules (n, 2), and the expansion
+    length of each rule."""
     seq, offs = seq.astype(np.uint32), offs.astype(np.int64)
     rules: list[np.ndarray] = []
     lens = np.ones(first, np.int64)
     n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        if seq.max(initial=0) < 1 << 16:
-            code = (seq[:-1] << np.uint32(16)) | seq[1:]
-        inside = np.ones(len(code), bool)
+    bits, kind = (16, np.uint32) if room <= 1 << 16 else (32, np.uint64)
+    none = kind(np.iinfo(kind).max)
+    spread, down = kind(0x9E3779B1 if bits == 16 else 0x9E3779B97F4A7C15), kind(2 * bits - SLOTS.bit_length() + 1)
+    while len(seq) > least and n_rules < room - first:
+        code = (seq[:-1].astype(kind) << kind(bits)) | seq[1:]
         last = offs[1:-1] - 1
-        inside[last[(last >= 0) & (last < len(code))]] = False
-        s = np.sort(code[inside])
-        if not len(s):
+        code[last[(last >= 0) & (last < len(code))]] = none
+        s = np.sort(code)
+        often = s[: len(s) - least + 1][s[least - 1 :] == s[: len(s) - least + 1]]
+        often = often[often != none]
+        if not len(often):
             break
-        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        n = np.diff(np.concatenate([edge, [len(s)]]))
-        top = np.flatnonzero(n >= least)
-        top = top[np.argsort(-n[top], kind="stable")][: min(pairs, room - first - n_rules)]
-        if not len(top):
+        edge = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]]))
+        n, often = np.diff(np.append(edge, len(often))), often[edge]
+        left = room - first - n_rules
+        budget = min(left, max(FLOOR, left // SHARE))
+        # twice as many as may stay: overlaps with more frequent pairs leave some without use
+        chosen = often[np.argsort(-n, kind="stable")[: 2 * budget]]
+        unused = len(chosen)
+        table = np.full(SLOTS, unused - 1, np.int32)
+        table[((chosen * spread) >> down)[::-1]] = np.arange(unused - 1, -1, -1)
+        at = table[(code * spread) >> down]
+        rank = np.full(len(code) + 2, unused, np.int32)
+        rank[1:-1][chosen[at] == code] = at[chosen[at] == code]
+        pos = np.flatnonzero(rank[1:-1] < unused)
+        own = rank[pos + 1]
+        free = (own < rank[pos]) & (own <= rank[pos + 2])  # of overlapping occurrences, never two
+        pos, own = pos[free], own[free]
+        hits = np.bincount(own, minlength=unused)
+        used = np.flatnonzero(hits >= 3)  # a rule costs as much as two symbols
+        if len(used) > budget:
+            used = np.sort(used[np.argsort(-hits[used], kind="stable")[:budget]])
+        if not len(used):
             break
-        chosen = s[edge[top]]
-        order = np.argsort(chosen)
-        ranked = chosen[order]
-        none = len(chosen)
-        rank = np.full(len(code), none, np.int32)  # 0: most frequent
-        shift = 16 if code.dtype == np.uint32 else 32
-        left, right = np.zeros(room, bool), np.zeros(room, bool)
-        left[(chosen >> shift).astype(np.int64)] = True
-        right[(chosen & ((1 << shift) - 1)).astype(np.int64)] = True
-        near = np.flatnonzero(inside & left[seq[:-1]] & right[seq[1:]])  # few: the search below is the dear part
-        at = np.minimum(np.searchsorted(ranked, code[near]), none - 1)
-        hit = ranked[at] == code[near]
-        rank[near[hit]] = order[at[hit]]
-        before, after = np.concatenate([[none], rank[:-1]]), np.concatenate([rank[1:], [none]])
-        pos = np.flatnonzero((rank < none) & (rank < before) & (rank <= after))  # of overlapping occurrences, never two
-        used, new = np.unique(rank[pos], return_inverse=True)
-        pair = np.empty((len(used), 2), np.uint32)
-        pair[new, 0], pair[new, 1] = seq[pos], seq[pos + 1]
-        seq[pos] = first + n_rules + new
+        new = np.full(unused, -1, np.int64)
+        new[used] = first + n_rules + np.arange(len(used))
+        symbol = new[own]
+        pos, symbol = pos[symbol >= 0], symbol[symbol >= 0]
+        seq[pos] = symbol
         keep = np.ones(len(seq), bool)
         keep[pos + 1] = False
-        offs = np.concatenate([[0], np.cumsum(keep)])[offs]
+        offs = offs - np.searchsorted(pos + 1, offs)
         seq = seq[keep]
+        pair = np.stack([chosen[used] >> kind(bits), chosen[used] & kind((1 << bits) - 1)], axis=1).astype(np.uint32)
         rules.append(pair)
         lens = np.concatenate([lens, lens[pair[:, 0]] + lens[pair[:, 1]]])
         n_rules += len(used)
@@ -300,16 +409,43 @@ def grammar(seq: np.ndarray, offs: np.ndarray, first: int, rounds: int = ROUNDS,
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """Ids of any run of symbols: each pass replaces nonterminals by their pairs."""
+    """Ids of any run of symbols. What each rule stands for is written out once (a rule names earlier ones only, so each
+    pass replaces nonterminals by their pairs), and symbols then pick their stretch of it."""
     s = symbols.astype(np.int64)
-    while len(s) and (big := s >= first).any():
-        at = np.concatenate([[0], np.cumsum(1 + big)])[:-1]
-        out = np.empty(len(s) + int(big.sum()), np.int64)
-        pair = rules[s[big] - first]
-        out[at[~big]] = s[~big]
+    if not (s >= first).any():
+        return s.astype(np.uint32)
+    flat, ends = rules.astype(np.int64).ravel(), 2 * np.arange(1, len(rules) + 1)
+    while (big := flat >= first).any():
+        grown = np.cumsum(1 + big)
+        at = grown - 1 - big
+        out = np.empty(int(grown[-1]), np.int64)
+        pair = rules[flat[big] - first]
+        out[at[~big]] = flat[~big]
         out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        s = out
-    return s.astype(np.uint32)
+        flat, ends = out, grown[ends - 1]
+    # ids stand for themselves: a table of all of them before the rules' stretches
+    table = np.concatenate([np.arange(first, dtype=np.uint32), flat.astype(np.uint32)])
+    start = np.concatenate([np.arange(first), first + ends - np.diff(ends, prepend=0)]).astype(np.int32)
+    size = np.concatenate([np.ones(first, np.int32), np.diff(ends, prepend=0).astype(np.int32)])
+    n = size[s]
+    upto = np.cumsum(n, dtype=np.int64)
+    src = np.repeat((start[s] - (upto - n)).astype(np.int64), n)
+    src += np.arange(len(src))
+    return table[src]
+
+
+def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, a: int, b: int) -> np.ndarray:
+    """Ids a to b of what the symbols stand for: expansion lengths tell which symbols to expand, the others stay as they are."""
+    s = symbols.astype(np.int64)
+    size = np.ones(len(s), np.int64)
+    size[s >= first] = lengths[s[s >= first] - first]
+    ends = np.cumsum(size)
+    b = min(b, int(ends[-1]) if len(ends) else 0)
+    if a >= b:
+        return np.zeros(0, np.uint32)
+    lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b, "left")) + 1
+    skip = a - int(ends[lo] - size[lo])
+    return expand(s[lo:hi], rules, first)[skip : skip + b - a]
 
 
 _SHARD = "part int, shard int, first long, n_ids long, width int, doc_ids array<long>, n_tokens array<int>, symbol_at array<int>, rules binary, lengths binary, symbols binary"
@@ -336,7 +472,7 @@ def write_shards(docs: DataFrame, path: str, to: str, end: int = 2, kind: str =
             n = np.concatenate([np.diff(h[2]) for h in held])
             offs = np.concatenate([[0], np.cumsum(n)])
             width = 2 if first < 1 << 16 else 4
-            sym, at, rules, lens = grammar(seq, offs, first, room=1 << (16 if width == 2 else 24))
+            sym, at, rules, lens = grammar(seq, offs, first, 1 << (16 if width == 2 else 24))
             put = lambda x: x.astype(f"<u{width}").tobytes()
             row = (part, shard, first, len(seq), width, ids, n.tolist(), at.tolist(), put(rules), lens.astype("<u4").tobytes(), put(sym))
             shard += 1
@@ -344,9 +480,9 @@ def write_shards(docs: DataFrame, path: str, to: str, end: int = 2, kind: str =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         size = 0
-        for ids, texts in _rows(batches):
+        for rows, texts in _texts(batches):
             flat, offs = table.encode(texts, end)
-            held.append((ids, flat, offs))
+            held.append((rows.column("doc_id").to_pylist(), flat, offs))
             size += len(flat)
             if size >= shard_ids:
                 yield flush()
@@ -359,6 +495,27 @@ def write_shards(docs: DataFrame, path: str, to: str, end: int = 2, kind: str =
     sweep(docs.sparkSession)
 
 
+def read_documents(spark, at: str, doc_ids: list[int], start: int = 0, length: int | None = None) -> DataFrame:
+    """Random access: doc_id and ids (from start on, length of them at most) of the named documents. Of a shard that
+    holds one, only that document's symbols are expanded, and of these only what the range needs."""
+    wanted = sorted(set(doc_ids))
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                kind = f"<u{r['width']}"
+                rules, sym = np.frombuffer(r["rules"], kind).reshape(-1, 2).astype(np.int64), np.frombuffer(r["symbols"], kind)
+                lens = np.frombuffer(r["lengths"], "<u4").astype(np.int64)
+                hit = [i for i, d in enumerate(r["doc_ids"]) if d in keep]
+                end = [r["n_tokens"][i] if length is None else start + length for i in hit]
+                ids = [expand_range(sym[r["symbol_at"][i] : r["symbol_at"][i + 1]], rules, lens, r["first"], start, e).tolist() for i, e in zip(hit, end)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_ids"][i] for i in hit], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    keep = set(wanted)
+    files = spark.read.parquet(at).where(F.arrays_overlap("doc_ids", F.array(*[F.lit(d).cast("long") for d in wanted])) if wanted else F.lit(False))
+    return files.mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def read_shards(spark, at: str) -> DataFrame:
     """Decode shard files: doc_id, start, n_tokens, ids_crc32 for every document, in the files' order."""
 
