@@ -3,11 +3,12 @@
 Texts are read as lower-cased words of letters, digits and characters beyond ASCII. Base phrases are counted wherever
 their words stand in a row. A notice of n characters may differ by n // 10 edits (one at least from 12 characters on, two from 16):
 of its edits-plus-one seeds one must occur unchanged, which locates candidates; the regex library's bounded-error
-matching then verifies the whole notice there and gives its span and edits.
+matching then verifies the whole notice there and gives its span and edits. The words that tell a license from others
+(mit, bsd, a version) must stand unchanged inside that span, so that edits never turn one license into another.
 
-Edge cases: null and empty texts have no words, no labels and score 0; overlapping hits of one notice count once, at
-the fewest edits; an empty table gives no rows; repeated rows get a row each; other input columns are ignored. Whole
-texts are scanned.
+Edge cases: null and empty texts have no words, no labels and score 0; of overlapping hits the best one counts (fewest
+edits, then the longest, the first, the label in order); an empty table gives no rows; repeated rows get a row each;
+other input columns are ignored. Whole texts are scanned.
 """
 
 from __future__ import annotations
@@ -27,26 +28,55 @@ BASE = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Notices in normal form (lower case, words joined by one space) and their labels.
+#: Notices in normal form (lower case, words joined by one space), their labels, and the words that tell
+#: them from the notices of other licenses; edits never touch these.
 NOTICES = {
-    "licensed under the apache license version 2 0": "apache-2.0",
-    "apache license version 2 0": "apache-2.0",
-    "released under the mit license": "mit",
-    "licensed under the mit license": "mit",
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "redistribution and use in source and binary forms": "bsd",
-    "licensed under the bsd license": "bsd",
-    "gnu general public license version 3": "gpl-3.0",
-    "gnu general public license version 2": "gpl-2.0",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license version 2 0": "mpl-2.0",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under cc by sa 4 0": "cc-by-sa",
-    "creative commons attribution": "cc-by",
-    "dedicated to the public domain": "public-domain",
-    "all rights reserved": "reserved",
+    "licensed under the apache license version 2 0": ("apache-2.0", "2"),
+    "apache license version 2 0": ("apache-2.0", "2"),
+    "apache license 2 0": ("apache-2.0", "2"),
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": ("apache-2.0", ""),
+    "released under the mit license": ("mit", "mit"),
+    "licensed under the mit license": ("mit", "mit"),
+    "mit license": ("mit", "mit"),
+    "spdx license identifier mit": ("mit", "mit"),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software": ("mit", ""),
+    "licensed under the isc license": ("isc", "isc"),
+    "released under the isc license": ("isc", "isc"),
+    "isc license": ("isc", "isc"),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", ""),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("bsd", ""),
+    "licensed under the bsd license": ("bsd", "bsd"),
+    "released under the bsd license": ("bsd", "bsd"),
+    "bsd 2 clause license": ("bsd", "bsd 2"),
+    "bsd 3 clause license": ("bsd", "bsd 3"),
+    "gnu general public license v3": ("gpl-3.0", "v3"),
+    "gnu general public license v2": ("gpl-2.0", "v2"),
+    "gnu general public license version 3": ("gpl-3.0", "3"),
+    "gnu general public license version 2": ("gpl-2.0", "2"),
+    "gnu general public license": ("gpl", ""),
+    "gnu lesser general public license": ("lgpl", ""),
+    "gnu affero general public license": ("agpl", ""),
+    "gnu free documentation license": ("gfdl", ""),
+    "mozilla public license version 2 0": ("mpl-2.0", "2"),
+    "eclipse public license version 2 0": ("epl-2.0", "2"),
+    "european union public licence": ("eupl", ""),
+    "boost software license version 1 0": ("bsl-1.0", "1"),
+    "sil open font license version 1 1": ("ofl-1.1", "1"),
+    "do what the fuck you want to public license": ("wtfpl", ""),
+    "licensed under cc by 4 0": ("cc-by", "cc by 4"),
+    "licensed under cc by nc 4 0": ("cc-by-nc", "cc by nc 4"),
+    "licensed under cc by sa 4 0": ("cc-by-sa", "cc by sa 4"),
+    "licensed under cc by nd 4 0": ("cc-by-nd", "cc by nd 4"),
+    "licensed under cc by nc sa 4 0": ("cc-by-nc-sa", "cc by nc sa 4"),
+    "licensed under cc by nc nd 4 0": ("cc-by-nc-nd", "cc by nc nd 4"),
+    "creative commons attribution": ("cc-by", ""),
+    "creative commons attribution noncommercial": ("cc-by-nc", ""),
+    "creative commons attribution sharealike": ("cc-by-sa", ""),
+    "creative commons attribution noderivatives": ("cc-by-nd", ""),
+    "creative commons zero": ("cc0", "zero"),
+    "this is free and unencumbered software released into the public domain": ("unlicense", ""),
+    "dedicated to the public domain": ("public-domain", ""),
+    "all rights reserved": ("reserved", ""),
 }
 
 
@@ -56,15 +86,16 @@ class Notice:
     label: str
     edits: int
     seeds: tuple[tuple[bytes, int], ...]
+    must: frozenset[str]
 
 
-def notices(table: dict[str, str] = NOTICES) -> list[Notice]:
+def notices(table: dict[str, tuple[str, str]] = NOTICES) -> list[Notice]:
     out = []
-    for text, label in table.items():
+    for text, (label, must) in table.items():
         n = len(text)
         k = max(n // 10, 2 if n >= 16 else 1 if n >= 12 else 0)
         cuts = [n * i // (k + 1) for i in range(k + 2)]
-        out.append(Notice(text, label, k, tuple((text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:]))))
+        out.append(Notice(text, label, k, tuple((text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])), frozenset(must.split())))
     return out
 
 
@@ -109,24 +140,31 @@ def _fuzzy(text: bytes, row_start: np.ndarray, table: list[Notice], compiled: li
                 a += 1
             while b < hi and text[b] & 0xC0 == 0x80:
                 b += 1
-            m = compiled[j].search(text[a:b].decode("utf-8", "replace"))
-            if m:
+            near = text[a:b].decode("utf-8", "replace")
+            m = compiled[j].search(near)
+            if m and notice.must <= _words_at(near, m.start(), m.end()):
                 start = len(text[lo:a].decode("utf-8", "replace")) + m.start()
                 found.setdefault((r, j), []).append((start, start + m.end() - m.start(), sum(m.fuzzy_counts)))
                 done[r] = b
     return found
 
 
+def _words_at(text: str, start: int, end: int) -> set[str]:
+    """The words that lie in text[start:end], whole ones at both ends."""
+    start, end = text.rfind(" ", 0, start + 1) + 1, text.find(" ", max(start, end - 1))
+    return set(text[start : end if end >= 0 else len(text)].split())
+
+
 def _best(hits: list[dict]) -> list[dict]:
-    """Hits but those that overlap one of fewer edits: version 3 isn't a misspelt version 2."""
+    """Hits that overlap no better one: fewer edits first, then the longer notice, the earlier place, the label."""
     kept: list[dict] = []
     for h in sorted(hits, key=lambda h: (h["edits"], h["start"] - h["end"], h["start"], h["label"])):
-        if not any(k["edits"] < h["edits"] and k["start"] < h["end"] and h["start"] < k["end"] for k in kept):
+        if not any(k["start"] < h["end"] and h["start"] < k["end"] for k in kept):
             kept.append(h)
     return kept
 
 
-def scan(docs: DataFrame, base: dict[str, str] = BASE, table: dict[str, str] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, base: dict[str, str] = BASE, table: dict[str, tuple[str, str]] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and hits: array of
     (label, start, end, edits), places in the normal form of the whole text."""
     fuzzy = notices(table)
