@@ -7,7 +7,8 @@ Myers' bit-parallel search confirms the whole item there.
 
 Edge cases: null or empty texts and items match nothing; an item of under 7 words must occur exactly; repeated items
 and rows are each answered; an empty benchmark leaves every document clean; other input columns are ignored by the
-report and kept by the filter. Items go through in blocks of bounded size, each held against all documents.
+report and kept by the filter. Texts of any length are searched whole. Of equally good places of an item in a text the
+first counts. Items go through in blocks of bounded size, in one reading of the documents.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ def budget(m: int, percent: int = 15) -> int:
     return m * percent // 100
 
 
-def myers(pattern: list[int], text: list[int]) -> list[int]:
-    """Least edits of the whole pattern against any stretch of text that ends at each place (bit-parallel)."""
+def myers(pattern: list[int], text: list[int], anchored: bool = False) -> list[int]:
+    """Least edits of the whole pattern against any stretch of text that ends at each place (bit-parallel); anchored:
+    against the one that starts where the text does."""
     m = len(pattern)
     peq: dict[int, int] = {}
     for i, c in enumerate(pattern):
@@ -44,7 +46,7 @@ def myers(pattern: list[int], text: list[int]) -> list[int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph, mh = (ph << 1) & full, (mh << 1) & full
+        ph, mh = ((ph << 1) | anchored) & full, (mh << 1) & full
         pv, mv = mh | (full & ~(xv | ph)), ph & xv
         out.append(score)
     return out
@@ -80,7 +82,7 @@ def _piece(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def _hits(w, items: Items):
-    """(row, item, first word, edits) of confirmed places, the best of overlapping ones."""
+    """(row, item, first word, edits) of confirmed places, the best one of each row and item: fewest edits, then first."""
     n_words = len(w.hash)
     row_of = np.repeat(np.arange(len(w.row_at) - 1), np.diff(w.row_at))
     places: set[tuple[int, int, int]] = set()
@@ -106,21 +108,32 @@ def _hits(w, items: Items):
         scores = myers(items.words[item].tolist(), w.hash[lo:hi].tolist())
         if not scores or (low := min(scores)) > k:
             continue
-        end = lo + scores.index(low)
-        first = max(int(w.row_at[row]), end - m + 1) - int(w.row_at[row])
+        end = lo + scores.index(low) + 1
+        # where the stretch starts: the same distance, read backwards from its end (the shortest such stretch)
+        back = [m, *myers(items.words[item].tolist()[::-1], w.hash[lo:end].tolist()[::-1], anchored=True)]
+        first = end - back.index(low) - int(w.row_at[row])
         if (row, item) not in best or (low, first) < best[row, item]:
             best[row, item] = (low, first)
         done[row, item] = hi
     return [(r, i, f, e) for (r, i), (e, f) in best.items()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
-    """A row for each row of docs and block of items that match in it: the row's columns and hits, array of
-    (item_id, first_word, edits)."""
-    names = docs.columns
+_HITS = "array<struct<item_id: long, first_word: long, edits: int>>"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15, name: str = "_tm_hits") -> DataFrame:
+    """Each row of docs, with its columns, and name (which takes the place of a column so called): array of (item_id,
+    first_word, edits), by item and place.
+
+    Texts are read once: each block of items adds its hits to the rows that pass through it, and takes what the blocks
+    before have added along.
+    """
+    names = [c for c in docs.columns if c != name]
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     blocks = max(1, -(-bench.count() // BLOCK_ITEMS))
-    out = None
+    out = docs.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast(_HITS).alias(name))
+    schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes)
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("edits", pa.int32())]))
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks})") == k)
         rows = part.orderBy("item_id", "text").collect()
@@ -129,24 +142,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFra
         def run(batches, items=items):
             for rows, data, offs in text_blocks(batches):
                 w = words(data, offs, lower=True, alnum=True)
-                found: dict[int, list] = {}
+                found = [x or [] for x in rows.column(name).to_pylist()]
                 for r, i, first, edits in _hits(w, items):
-                    found.setdefault(r, []).append({"item_id": items.ids[i], "first_word": first, "edits": edits})
-                hits = [sorted(found.get(r, []), key=lambda x: (x["item_id"], x["first_word"])) for r in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("edits", pa.int32())])))], [*names, "_tm_hits"])
+                    found[r].append({"item_id": items.ids[i], "first_word": first, "edits": edits})
+                hits = pa.array([sorted(x, key=lambda h: (h["item_id"], h["first_word"], h["edits"])) for x in found], kind)
+                yield pa.RecordBatch.from_arrays([hits if n == name else rows.column(n) for n in rows.schema.names], rows.schema.names)
 
-        schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _tm_hits array<struct<item_id: long, first_word: long, edits: int>>"
-        one = docs.mapInArrow(run, schema)
-        out = one if out is None else out.unionByName(one)
+        out = out.mapInArrow(run, schema)
     return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, ascending, comma-joined), least edits and first word of the best hit."""
-    base = docs.select(F.col("doc_id").cast("long"), "text")
-    m = matches(base.withColumn("_tm_t", F.xxhash64("text")), benchmark, percent).drop("text")
-    if benchmark.count() > BLOCK_ITEMS:
-        m = m.groupBy("doc_id", "_tm_t").agg(F.flatten(F.collect_list("_tm_hits")).alias("_tm_hits"))
+    m = matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, percent).drop("text")
     hits = F.array_sort(F.transform("_tm_hits", lambda h: F.struct(h.edits, h.first_word, h.item_id)))
     ids = F.array_sort(F.array_distinct(F.transform("_tm_hits", lambda h: h.item_id)))
     best = F.get(hits, F.lit(0))
@@ -162,8 +170,7 @@ def report(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFram
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 15) -> DataFrame:
     """docs without the rows in which an item stands."""
-    if benchmark.count() <= BLOCK_ITEMS:
-        return matches(docs, benchmark, percent).where(F.size("_tm_hits") == 0).drop("_tm_hits")
-    keyed = docs.withColumn("_tm_k", F.xxhash64("doc_id", "text"))
-    dirty = matches(keyed.select("_tm_k", "text"), benchmark, percent).where(F.size("_tm_hits") > 0).select("_tm_k").distinct()
-    return keyed.join(dirty, "_tm_k", "left_anti").drop("_tm_k")
+    name = "_tm_hits"
+    while name in docs.columns:
+        name += "_"
+    return matches(docs, benchmark, percent, name).where(F.size(name) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
