@@ -13,6 +13,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to a Python worker; texts are long, so the default of 10,000 would need too much memory.
 ARROW_ROWS = 256
@@ -42,9 +43,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only where that setting is absent, as in tests."""
+    """A new folder below the cluster's shared checkpoint folder; a temporary one only where that setting is
+    absent and driver and executors are one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _dirs:
             _dirs[app] = tempfile.mkdtemp(prefix="tidemark-shared-")
@@ -58,10 +63,60 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._tm_path = path
     sweep(spark)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more: whatever was made from them has been written itself."""
+    for df in tables:
+        path = getattr(df, "_tm_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_held: dict[str, list[DataFrame]] = {}
+
+
+def hold(spark: SparkSession, *tables: DataFrame) -> None:
+    """Tables that a result still reads: they stay until release()."""
+    _held.setdefault(spark.sparkContext.applicationId, []).extend(tables)
+
+
+def release(docs: DataFrame) -> None:
+    """Delete held tables, unless docs reads one of them. Called by a pipeline's stage on its input, which has been
+    written and read again: what the stages before held has served."""
+    held = _held.get(docs.sparkSession.sparkContext.applicationId, [])
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    reads = " ".join(leaves.apply(i).toString() + _roots(leaves.apply(i)) for i in range(leaves.length()))
+    if not any(getattr(t, "_tm_path", "?").rsplit("/", 1)[-1] in reads for t in held):
+        discard(*held)
+        held.clear()
+
+
+def _roots(leaf) -> str:
+    """Paths that a leaf of a plan reads."""
+    if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return ""
+    return leaf.relation().location().rootPaths().mkString(" ")
+
+
+#: A key that holds a thousandth of a table's rows or more is hot: there are a thousand of them at most.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined to facts (one row a key, with n, its number of rows): hot keys' rows stay where they are and meet their
+    facts by broadcast, which HOT bounds; only the others are shuffled."""
+    hot = F.col("n") * HOT >= total
+    there = rows.join(F.broadcast(facts.where(hot).drop("n")), keys)
+    rest = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti")
+    return there.unionByName(rest.join(facts.where(~hot).drop("n").hint("merge"), keys))
+
+
 #: Seconds between sweeps: steps that take less leave little behind.
 SWEEP_EVERY = 8.0
 _swept = [0.0]

@@ -5,8 +5,8 @@ patterns (at most 3 ** rules rows, however many documents) estimates how often e
 probability of "good" replaces an all-must-pass filter.
 
 Edge cases: a null text is an empty one (0 words, so base_failed); an empty table gives no rows; repeated doc_ids give a
-row each; further input columns are ignored by the report and kept by the filter. The position bits of the repeat
-counter follow each text's own length, so texts of any length are counted whole.
+row each; further input columns are ignored by the report and kept by the filter. Texts of any length are counted whole;
+a posterior equal to the threshold keeps the document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many repeated windows in a text, membership costs less than the packed sort; either way is exact.
+#: Up to so many repeated windows in a text, membership costs less than the sort of pairs; either way is exact.
 _FEW = 32
 _WS = r"[\\x20\\x09-\\x0D]"
 _WORD = r"[^\\x20\\x09-\\x0D]"
@@ -53,13 +53,10 @@ def _repeat_words(grams: str) -> str:
     """Words in 3-word windows that occur at least twice, from the array of window hashes in text order.
 
     Sorting the hashes gives those that repeat. Where they are few, positions are found by membership; else hashes are
-    sorted packed with their positions (position bits follow the text's length) and compared with their neighbours.
+    sorted together with their positions and compared with their neighbours. Both find the same positions.
     """
-    at = "h[cast({} & (shiftleft(1L, b) - 1L) as int)]"
-    twin = f"(j > 0 and {at.format('s[j - 1]')} = {at.format('x')}) or (j < size(s) - 1 and {at.format('s[j + 1]')} = {at.format('x')})"
-    packed = "sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, b), b) | cast(i as bigint)))"
-    hits = f"sort_array(transform(filter(s, (x, j) -> {twin}), x -> x & (shiftleft(1L, b) - 1L)))"
-    many = _let("length(bin(cast(size(h) as bigint)))", "b", _let(packed, "s", hits))
+    twin = "(j > 0 and s[j - 1].x = y.x) or (j < size(s) - 1 and s[j + 1].x = y.x)"
+    many = _let("sort_array(transform(h, (x, i) -> struct(x as x, cast(i as bigint) as i)))", "s", f"sort_array(transform(filter(s, (y, j) -> {twin}), y -> y.i))")
     few = "filter(transform(h, (x, i) -> if(array_contains(r, x), cast(i as bigint), -1L)), i -> i >= 0)"
     repeated = _let("sort_array(h)", "s", "array_distinct(filter(s, (x, j) -> j > 0 and x = s[j - 1]))")
     covered = "aggregate(transform(p, (x, k) -> if(k < size(p) - 1, least(3L, p[k + 1] - x), 3L)), 0L, (a, c) -> a + c)"
@@ -151,10 +148,12 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0
     Counts are written once and read back: the votes name them many times, and an optimiser that merges the two steps
     would count every text anew for each mention.
     """
-    from tidemark.llm.common import materialise
+    from tidemark.llm.common import hold, materialise
 
     kept = columns if columns is not None else docs.columns
-    counted = materialise(features(docs, text).select(*[F.col(f"`{c}`") for c in kept], "_tm_f")).withColumn("_tm_base", base_failed()).withColumn("_tm_v", votes(rules))
+    counted = materialise(features(docs, text).select(*[F.col(f"`{c}`") for c in kept], "_tm_f"))
+    hold(docs.sparkSession, counted)
+    counted = counted.withColumn("_tm_base", base_failed()).withColumn("_tm_v", votes(rules))
     t = "array(" + ", ".join(f"{x!r}D" for x in fit(counted.select("_tm_v"), rules=rules)) + ")"
     judged = counted.withColumn("_tm_p", F.expr(_posterior("_tm_v", t, len(rules))))
     return judged.withColumn("_tm_keep", ~F.col("_tm_base") & (F.col("_tm_p") >= threshold))

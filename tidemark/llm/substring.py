@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _Q, _R, as_long, materialise, mix, run_hashes, text_blocks, words
+from tidemark.llm.common import _Q, _R, as_long, discard, hold, join_hot, materialise, mix, run_hashes, text_blocks, words
 
 #: A perfect difference set modulo 31.
 COVER = (1, 5, 11, 24, 25, 27)
@@ -140,22 +140,31 @@ def removals(docs: DataFrame, window: int = 50, keep_text: bool = False) -> Data
     if window < PERIOD:
         raise ValueError(f"a window must have {PERIOD} words at least")
     base = _keyed(docs)
-    profile = materialise(base.mapInArrow(_profile, "doc_id long, _tm_t long, n_words long, sha string"))
+    counted = F.count(F.lit(1)).alias("n")
+    raw = materialise(base.mapInArrow(_profile, "doc_id long, _tm_t long, n_words long, sha string"))
     # Whole copies: every window of theirs also starts in the first of them, so they go without comparing windows.
-    first = profile.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
-    profile = materialise(profile.join(first, "sha", "left").select(*_KEY, "n_words", "sha", copy).dropDuplicates(_KEY))
+    first = raw.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), counted).where("first < last").drop("last")
+    first = materialise(first)
+    copies = materialise(join_hot(raw, first, ["sha"], raw.count()).where("doc_id > first").select(*_KEY).distinct())
+    profile = materialise(raw.dropDuplicates(_KEY).join(copies.withColumn("copy", F.lit(True)).hint("merge"), _KEY, "left").withColumn("copy", F.coalesce("copy", F.lit(False))))
+    discard(raw, first, copies)
     anchors = materialise(base.mapInArrow(lambda it: _anchors(it, window), "hash long, doc_id long, _tm_t long, pos int"))
-    shared = materialise(anchors.groupBy("hash").agg(F.min("_tm_t").alias("a"), F.max("_tm_t").alias("b")).where("a < b").select("hash"))
-    at = anchors.join(shared, "hash").groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
-    at = materialise(at.join(profile.where("not copy").select(*_KEY), _KEY, "left_semi"))
-    affected = materialise(base.join(at, _KEY))
+    shared = materialise(anchors.groupBy("hash").agg(F.min("_tm_t").alias("a"), F.max("_tm_t").alias("b"), counted).where("a < b").select("hash", "n"))
+    at = join_hot(anchors, shared, ["hash"], anchors.count()).groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
+    at = materialise(at.join(profile.where("not copy").select(*_KEY).hint("merge"), _KEY, "left_semi"))
+    discard(anchors, shared)
+    affected = materialise(base.join(at.hint("merge"), _KEY))
+    discard(at)
     found = materialise(affected.mapInArrow(lambda it: _windows(it, window), "h1 long, h2 long, doc_id long, _tm_t long, pos int"))
-    owners = materialise(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    gone = found.join(owners, ["h1", "h2"]).where("doc_id > first").groupBy(*_KEY).agg(F.collect_set("pos").alias("at"))
-    cut = affected.drop("at").join(gone, _KEY).mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id long, _tm_t long, n_removed long, kept_sha256 string, kept string")
+    owners = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), counted).where("first < last").drop("last")
+    owners = materialise(owners)
+    gone = materialise(join_hot(found, owners, ["h1", "h2"], found.count()).where("doc_id > first").groupBy(*_KEY).agg(F.collect_set("pos").alias("at")))
+    discard(found, owners)
+    cut = affected.drop("at").join(gone.hint("merge"), _KEY).mapInArrow(lambda it: _cut(it, window, keep_text), "doc_id long, _tm_t long, n_removed long, kept_sha256 string, kept string")
     cut = materialise(cut.dropDuplicates(_KEY))
-    out = profile.join(cut, _KEY, "left")
+    discard(affected, gone)
+    hold(docs.sparkSession, profile, cut)
+    out = profile.join(cut.hint("merge"), _KEY, "left")
     return out.select(
         *_KEY,
         "n_words",
