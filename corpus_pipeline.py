@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near dedup, substring dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
-folder and reads it again as the next stage's docs. All stages but the last return the columns of documents.
+folder and reads it again as the next stage's docs. All stages but the last return the columns of documents. A stage's
+result is to be written before another stage is called: that deletes what the one before had put into the shared folder.
 """
 
 from __future__ import annotations
@@ -9,30 +10,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, neardup, packing, quality, substring
-from tidemark.llm.common import materialise, prepare
+from tidemark.llm.common import materialise, prepare, release
+
+
+def _begin(spark: SparkSession, docs: DataFrame) -> None:
+    prepare(spark)
+    release(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base or that weak supervision judges bad go."""
-    prepare(spark)
+    _begin(spark, docs)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
-    prepare(spark)
+    _begin(spark, docs)
     return neardup.keep_first(docs, shingle=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that also start in an earlier document leave the text."""
-    prepare(spark)
+    _begin(spark, docs)
     return substring.cut_repeats(docs, window=50)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a benchmark item stands go."""
-    prepare(spark)
+    _begin(spark, docs)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -40,7 +46,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Token pieces and the sequence and offset of each."""
     import public_tokenizers
 
-    prepare(spark)
+    _begin(spark, docs)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
