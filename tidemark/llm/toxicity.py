@@ -7,7 +7,8 @@ text is as toxic as its worst words: the largest word logits are averaged and ca
 
 Edge cases: null and empty texts have no words and get the score of the calibration's lowest logit; rows without a
 label are scored all the same; an empty table gives no rows; without labelled rows of both kinds every score is 0;
-repeated rows get a row each; other input columns are ignored. Scores use text alone.
+repeated rows get a row each, and one of a doc_id's texts is learned from; other input columns are ignored; texts of any
+length are scored whole. Scores use text alone. Words are in a set, so ties and repeats in a text change nothing.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.llm.common import mix
 
 BUCKETS, DIM = 1 << 18, 8
 GRAMS = (3, 4, 5)
-#: Bound of the training sample: at most so many labelled texts of each kind, the first by hash of doc_id.
-SAMPLE = 1500
+#: Bounds of the training sample: at most so many labelled texts of each kind, the first by hash of doc_id, of so many
+#: characters in all.
+SAMPLE, SAMPLE_CHARS = 1500, 16_000_000
 #: Word logits kept by a worker.
 MEMO = 400_000
 #: Runs of letters and digits with a letter among them: numbers say nothing.
@@ -121,8 +124,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 6, seed: int = 1) ->
             dz = np.stack([-d, d], axis=1).astype(np.float32)
             d_soft, d_bias, d_mean = mean.T @ dz, dz.sum(axis=0), dz @ soft.T
             rows, inv = np.unique(idx, return_inverse=True)
-            d_emb = np.zeros((len(rows), DIM), np.float32)
-            np.add.at(d_emb, inv, np.repeat(d_mean / lens[:, None], lens, axis=0))
+            each = np.repeat(d_mean / lens[:, None], lens, axis=0)
+            d_emb = np.stack([np.bincount(inv, each[:, k], len(rows)) for k in range(DIM)], axis=1).astype(np.float32)
             g_emb[rows] += d_emb**2
             emb[rows] -= 0.3 * d_emb / np.sqrt(g_emb[rows])
             g_soft += d_soft**2
@@ -146,20 +149,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: never rows held out; at most bound of each kind, by hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """Texts and labels to learn from: never rows held out; at most bound of each kind and chars of their characters, by
+    hash of doc_id."""
     lab = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out())
     picked = None
     for kind in (0, 1):
         part = lab.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic))
-    return [r.text or "" for r in rows], [r.toxic for r in rows]
-
-
-class _Memo:
-    own: dict = {}
+    # a doc_id with several texts gives one of them; picked has 2 * bound rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    upto = F.sum(F.length("text")).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = texts.withColumn("upto", upto).where(F.col("upto") <= chars).select("doc_id", "text", "toxic").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
+    return [r.text for r in rows], [r.toxic for r in rows]
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
