@@ -6,7 +6,9 @@ norm, or has the largest weighted dot product with the piece. Groups of bounded
 group a piece falls into is a hash, so no key can make one group large, and a group of thousands of pieces leaves
 almost nothing to gain by joining groups.
 
-Edge cases: empty texts are their end id alone; an empty table gives no rows; repeated doc_ids are packed once each.
+Edge cases: empty texts (null ones are empty) are their end id alone; an empty table gives no rows; repeated rows and
+doc_ids, null ones too, are packed once each; texts longer than a sequence are cut into pieces; of equally good sequences
+the one opened first takes the piece.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from tidemark.llm.common import materialise
 
 @dataclass(frozen=True)
 class Capacity:
-    """Limits of a sequence. Attention cost is the sum of squared piece lengths; None: no limit beyond tokens."""
+    """Limits of a sequence, and what each residual weighs in the choice of a sequence.
+
+    Attention cost is the sum of squared piece lengths; None: the square of the token limit, the least that lets a full
+    piece in. documents None: no limit.
+    """
 
     tokens: int = 2048
-    documents: int | None = None
+    documents: int | None = 64
     cost: int | None = None
-    weights: tuple[float, float, float] = (1.0, 1e-4, 1e-4)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"  # or "dot"
 
 
@@ -75,7 +81,9 @@ def pack(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_pieces(pieces: DataFrame, cap: Capacity = Capacity(), group: int = GROUP_PIECES) -> DataFrame:
-    """pieces (with a column length) and, for each, sequence_id and offset. pieces must read the same rows each time."""
+    """pieces (with a column length) and, for each, sequence_id and offset, which take the place of columns so called.
+    pieces must read the same rows each time."""
+    pieces = pieces.drop("sequence_id", "offset")
     n = pieces.count()
     groups = max(1, -(-n // group))
     names = pieces.columns

@@ -9,7 +9,8 @@ Edge cases: null or empty transcripts have no turns; blank lines belong to no tu
 users'; an empty table gives no rows; rows of a conversation that repeat in turn, role and text are one turn; ties in
 turn stand in order of role and text; null turns come first, null texts are empty. A row holds at most 64 turn numbers
 (null: with the first) and 4096 rows of a conversation, contiguous in order; a long conversation is many rows, decoded as
-one transcript: the state is carried over the cuts, and a turn stands whole in the row where it starts.
+one transcript: the state is carried over the cuts, and a turn stands whole in the row where it starts. Lines of any
+length are one observation. Of equally likely paths the one with the smallest states, from the end back, counts.
 """
 
 from __future__ import annotations
@@ -143,8 +144,10 @@ def render(turns: list[tuple[str, str]]) -> str:
 
 
 def format_transcripts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its transcript column, and turns (array of role, content), n_turns, roles, rendered."""
-    names = [c for c in df.columns if c != text]
+    """df without its transcript column, and turns (array of role, content), n_turns, roles, rendered, which take the
+    place of columns so called."""
+    new = ("turns", "n_turns", "roles", "rendered")
+    names = [c for c in df.columns if c != text and c not in new]
 
     def run(batches):
         kind = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
@@ -161,7 +164,7 @@ def format_transcripts(df: DataFrame, text: str = "text") -> DataFrame:
                 [*names, "turns", "n_turns", "roles", "rendered"],
             )
 
-    schema = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c != text) + "turns array<struct<role: string, content: string>>, n_turns long, roles string, rendered string"
+    schema = "".join(f"`{c}` {t}, " for c, t in df.dtypes if c in names) + "turns array<struct<role: string, content: string>>, n_turns long, roles string, rendered string"
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_tm_text")).mapInArrow(run, schema)
 
 
