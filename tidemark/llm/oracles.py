@@ -24,3 +24,26 @@ r(doc, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r JO
 c AS (SELECT doc AS doc_id, min(root) AS component_id FROM r GROUP BY doc)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
+
+#: Windows are numbered, counted, and a word counts once if any of the three windows that hold it occurs twice.
+BASE_COUNTS = f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS k FROM w WHERE len(ws) >= 3),
+twice AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + j AS pos FROM g JOIN twice USING (doc_id, k), (VALUES (0), (1), (2)) AS s(j)) x GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+c AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+      FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN hit ON hit.doc_id = w.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+BASE_PHRASES = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+x AS (SELECT doc_id, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM w),
+three AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, 'cc-by' AS label FROM three WHERE a = 'cc' AND b = 'by' UNION ALL SELECT doc_id, i, 'gpl' FROM three WHERE a = 'general' AND b = 'public' AND c = 'license'
+      UNION ALL SELECT doc_id, i, 'reserved' FROM three WHERE a = 'all' AND b = 'rights' AND c = 'reserved'),
+f AS (SELECT doc_id, count(*) AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM w LEFT JOIN f USING (doc_id)
+"""

@@ -8,7 +8,7 @@ from tidemark.llm import oracles
 from tidemark.llm.common import prepare, shared_dir
 
 QUERIES: dict = {}
-ORACLES: dict = {"op1_substring_dedup": oracles.SUBSTRING, "op2_near_dedup": oracles.NEAR}
+ORACLES: dict = {"op1_substring_dedup": oracles.SUBSTRING, "op2_near_dedup": oracles.NEAR, "llm_base_counts": oracles.BASE_COUNTS, "llm_base_phrases": oracles.BASE_PHRASES}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,3 +97,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import transcripts
 
     return transcripts.report(_read(spark, sf_dir, "conversations"))
+
+
+@_register
+def llm_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_quality that SQL can express."""
+    from tidemark.llm import quality
+
+    return quality.report(_read(spark, sf_dir, "documents")).drop("kept", "quality")
+
+
+@_register
+def llm_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_license_scan that SQL can express."""
+    from tidemark.llm import licenses
+
+    return licenses.report(_read(spark, sf_dir, "documents")).drop("labels", "score")
+
