@@ -85,3 +85,45 @@ def test_session(spark, small):
     with pytest.raises(QueryError):
         db.frame("SELECT 1")
     assert not is_read_only(spark, "INSERT INTO t SELECT 1") and is_read_only(spark, "SELECT ':x' AS a -- ?")
+
+
+def test_stems():
+    from tidemark.functions.stemming import stem
+
+    known = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss failing fail filing file happy happi sky sky relational relat conditional condit vietnamization vietnam operator oper hopefulness hope formalize formal electrical electr goodness good revival reviv replacement replac adoption adopt activate activ effective effect probate probat rate rate cease ceas controlling control roll roll".split()
+    for word, want in zip(known[::2], known[1::2]):
+        assert stem(word) == want, word
+    assert stem("Été") == "Été" and stem("ab") == "ab" and stem("x9s") == "x9s"
+
+
+def test_query_metrics(spark, small):
+    with Session(spark, small) as db:
+        db.all("SELECT * FROM region")
+        one = db.last
+        with pytest.raises(QueryError):
+            db.get("DROP TABLE x")
+        assert db.last.errors == 1 and one.files == 1 and one.bytes > 0 and one.scanned == 5 and one.rows == 5
+        assert db.stats().queries == 2 and db.stats().bytes == one.bytes
+
+
+def test_snippet_window_is_the_best_one():
+    r = random.Random(8)
+    for _ in range(200):
+        text = " ".join(r.choice(["lorem", "ipsum", "sea", "seas", "red", "Réd", "x"]) for _ in range(r.randint(0, 250)))
+        got = textual.snippet(text, ["red", "sea"])
+        hits = [(i, w) for i, w in enumerate(text.split()) if textual.fold(w) in ("red", "sea", "seas")]
+        if not hits:
+            assert not got["hits"]
+            continue
+        starts, at = [], 0
+        for w in text.split():
+            starts.append(at)
+            at += len(w) + 1
+        spans = [(starts[i], starts[i] + len(w), textual.fold(w)[:3]) for i, w in hits]
+
+        def value(lo):
+            inside = [s for s in spans if s[0] >= lo and s[1] <= lo + 300]
+            return 100 * len({s[2] for s in inside}) + min(len(inside), 20) - lo / len(text)
+
+        best = max((max(0, s[0] - 80) for s in spans), key=lambda lo: (value(lo), -lo))
+        assert abs(text.find(got["text"], max(0, best - 1)) - best) <= 41 or got["text"] in text[: best + 341]

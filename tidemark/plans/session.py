@@ -6,7 +6,7 @@ import math
 import re
 import threading
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -89,10 +89,44 @@ def arguments(sql: str, params):
 
 @dataclass
 class Metrics:
+    """Totals of a session, or of one query: what it returned, how long it took, and what its scans read."""
+
     queries: int = 0
     rows: int = 0
     seconds: float = 0.0
     errors: int = 0
+    files: int = 0
+    bytes: int = 0
+    scanned: int = 0
+
+    def since(self, before: "Metrics") -> "Metrics":
+        return Metrics(**{k: v - getattr(before, k) for k, v in vars(self).items()})
+
+
+def _scans(plan):
+    """File scans of a plan that has run, inside adaptive stages too."""
+    name = plan.getClass().getSimpleName()
+    if name == "FileSourceScanExec":
+        yield plan
+    elif name == "AdaptiveSparkPlanExec":
+        yield from _scans(plan.executedPlan())
+    elif name.endswith("QueryStageExec"):
+        yield from _scans(plan.plan())
+    else:
+        kids = plan.children()
+        for i in range(kids.length()):
+            yield from _scans(kids.apply(i))
+
+
+def scan_metrics(df: DataFrame) -> dict[str, int]:
+    """files, bytes and rows that the scans of a collected DataFrame read."""
+    out = {"files": 0, "bytes": 0, "scanned": 0}
+    for scan in _scans(df._jdf.queryExecution().executedPlan()):
+        have = scan.metrics()
+        for ours, theirs in (("files", "numFiles"), ("bytes", "filesSize"), ("scanned", "numOutputRows")):
+            if have.contains(theirs):
+                out[ours] += have.apply(theirs).value()
+    return out
 
 
 class Statement:
@@ -112,6 +146,7 @@ class Session:
     def __init__(self, spark: SparkSession, sf_dir: str | None = None, tables: Mapping[str, DataFrame] | None = None):
         self.spark, self._lock, self._open = spark, threading.RLock(), True
         self.metrics = Metrics()
+        self.last = Metrics()
         self._views = dict(tables or {})
         if sf_dir:
             self._dir = sf_dir
@@ -150,32 +185,47 @@ class Session:
             raise QueryError("only a single read-only statement is allowed")
         return Statement(self, sql)
 
-    def all(self, sql: str, params=None, max_rows: int = MAX_ROWS) -> list[Row]:
-        """All rows, at most max_rows: one more is asked for, and having it is an error."""
+    def _counted(self, sql: str, params, take: Callable[[DataFrame], tuple[DataFrame, list[Row]]]) -> list[Row]:
+        """Run one query and add it to the metrics; last holds what it alone added."""
         with self._lock:
-            t = time.perf_counter()
+            before, t = self.stats(), time.perf_counter()
             self.metrics.queries += 1
             try:
-                rows = self.frame(sql, params).limit(max_rows + 1).collect()
-                if len(rows) > max_rows:
-                    raise QueryError(f"more than {max_rows} rows")
+                df, rows = take(self.frame(sql, params))
                 self.metrics.rows += len(rows)
+                for k, v in scan_metrics(df).items():
+                    setattr(self.metrics, k, getattr(self.metrics, k) + v)
                 return rows
             except (QueryError, PySparkException):
                 self.metrics.errors += 1
                 raise
             finally:
                 self.metrics.seconds += time.perf_counter() - t
+                self.last = self.metrics.since(before)
+
+    def all(self, sql: str, params=None, max_rows: int = MAX_ROWS) -> list[Row]:
+        """All rows, at most max_rows: one more is asked for, and having it is an error."""
+
+        def take(df: DataFrame):
+            df = df.limit(max_rows + 1)
+            rows = df.collect()
+            if len(rows) > max_rows:
+                raise QueryError(f"more than {max_rows} rows")
+            return df, rows
+
+        return self._counted(sql, params, take)
 
     query = all
 
     def get(self, sql: str, params=None) -> Row | None:
         """The first row, and no more work than it takes."""
-        with self._lock:
-            self.metrics.queries += 1
-            rows = self.frame(sql, params).take(1)
-            self.metrics.rows += len(rows)
-            return rows[0] if rows else None
+
+        def take(df: DataFrame):
+            df = df.limit(1)
+            return df, df.collect()
+
+        rows = self._counted(sql, params, take)
+        return rows[0] if rows else None
 
     def objects(self, sql: str, params=None, max_rows: int = MAX_ROWS) -> Iterator[dict]:
         """Rows as dicts; of duplicate names the last one counts."""
