@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import folds
+from tidemark.functions.ordered import running
 from tidemark.plans.dialect import Registry
+from tidemark.sources.scratch import written
 from tidemark.sources.tables import table
 
 _r = Registry()
@@ -63,8 +65,8 @@ def enclosing(requests: DataFrame, spans: DataFrame) -> DataFrame:
     return best.select("id", "b.span", "b.length")
 
 
-_SPANS = "SELECT event_id AS span, user_id % 20 AS object, event_id - 100 AS s_start, event_id + CAST(floor(value) AS BIGINT) * 3 AS s_end FROM events WHERE event_id % 5 = 0 AND event_id >= 100"
-_REQ = "SELECT event_id AS id, user_id % 20 AS object, event_id AS start, event_id + 10 AS stop FROM events WHERE event_id % 5 = 1"
+_SPANS = "SELECT event_id AS span, user_id % 20 AS object, greatest(event_id - 100, 0) AS s_start, event_id + CAST(floor(value) AS BIGINT) * 3 AS s_end FROM events"
+_REQ = "SELECT event_id AS id, user_id % 20 AS object, event_id AS start, event_id + 10 AS stop FROM events"
 
 
 @_r.query(
@@ -73,24 +75,41 @@ _REQ = "SELECT event_id AS id, user_id % 20 AS object, event_id AS start, event_
 )
 def _enclosing(spark, sf_dir):
     e = _events(spark, sf_dir)
-    spans = e.where("event_id % 5 = 0 AND event_id >= 100").select(F.col("event_id").alias("span"), (F.col("user_id") % 20).alias("object"), (F.col("event_id") - 100).alias("s_start"), (F.col("event_id") + F.floor("value") * 3).alias("s_end"))
-    requests = e.where("event_id % 5 = 1").select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("object"), F.col("event_id").alias("start"), (F.col("event_id") + 10).alias("end"))
+    spans = e.select(F.col("event_id").alias("span"), (F.col("user_id") % 20).alias("object"), F.greatest(F.col("event_id") - 100, F.lit(0)).alias("s_start"), (F.col("event_id") + F.floor("value") * 3).alias("s_end"))
+    requests = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("object"), F.col("event_id").alias("start"), (F.col("event_id") + 10).alias("end"))
     return enclosing(requests, spans)
 
 
-_r.sql(
+@_r.query(
     "t19_log_replay",
     """SELECT log, key, event_id, value FROM (SELECT log, key, event_id, value, payload_ok, row_number() OVER (PARTITION BY log, key ORDER BY event_id DESC) AS rn FROM
          (SELECT *, min(header_ok) OVER (PARTITION BY log ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_ok FROM
             (SELECT event_type AS log, user_id AS key, event_id, value, CASE WHEN event_id % 997 = 996 THEN 0 ELSE 1 END AS header_ok, value < 99 AS payload_ok FROM events) a) b WHERE prefix_ok = 1) c WHERE rn = 1 AND payload_ok""",
 )
-_r.sql(
+def _replay(spark, sf_dir):
+    """The good prefix of a log ends before its first broken header, one row a log; of what is left the last record of
+    a key counts, if its payload is whole. Both are partial aggregates: no log is put in order."""
+    log = _events(spark, sf_dir).select(F.col("event_type").alias("log"), F.col("user_id").alias("key"), "event_id", "value", (F.col("event_id") % 997 == 996).alias("broken"))
+    ends = log.where("broken").groupBy("log").agg(F.min("event_id").alias("stop"))
+    good = log.join(ends, "log", "left").where(F.col("stop").isNull() | (F.col("event_id") < F.col("stop")))
+    last = good.groupBy("log", "key").agg(F.max_by(F.struct("event_id", "value"), "event_id").alias("x"))
+    return last.where("x.value < 99").select("log", "key", "x.event_id", "x.value")
+
+
+@_r.query(
     "t20_lru_compaction",
     """WITH u AS (SELECT user_id AS key, max(event_id) AS used, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS size FROM events GROUP BY user_id),
-            t AS (SELECT CAST(sum(size) AS BIGINT) * 6 {div} 10 AS target FROM u),
+            t AS (SELECT CAST(sum(size) AS BIGINT) * 6 // 10 AS target FROM u),
             k AS (SELECT key, size, CAST(sum(size) OVER (ORDER BY used DESC, key) AS BIGINT) AS live FROM u)
        SELECT key, size, CAST(sum(size) OVER (ORDER BY key) AS BIGINT) - size AS new_offset FROM k, t WHERE live <= target""",
 )
+def _compaction(spark, sf_dir):
+    """The most recently used entries that fit the target stay, laid out anew in key order."""
+    e = _events(spark, sf_dir)
+    used = written(e.groupBy(F.col("user_id").alias("key")).agg((-F.max("event_id")).alias("age"), F.sum(F.floor("value").cast("long")).alias("size")))
+    target = used.agg(F.expr("sum(size) * 6 div 10").alias("t")).first().t or 0
+    kept = running(used, ["age", "key"], "size", "live").where(F.col("live") <= target).select("key", "size")
+    return running(kept, ["key"], "size", "upto").select("key", "size", (F.col("upto") - F.col("size")).alias("new_offset"))
 
 
 @_r.query(

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tidemark.functions.ordered import positions, running
 from tidemark.plans.dialect import Registry
+from tidemark.sources.scratch import scratch
 from tidemark.sources.tables import table
 
 _r = Registry()
@@ -56,10 +58,12 @@ def schema_introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.query("s09_cross_database", "SELECT n.n_name, count(*) AS customers FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
 def cross_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two databases read under qualified names in one statement."""
-    table(spark, sf_dir, "customer").createOrReplaceTempView("main_db_customer")
-    table(spark, sf_dir, "nation").createOrReplaceTempView("other_db_nation")
-    return spark.sql("SELECT n.n_name, count(*) AS customers FROM main_db_customer c JOIN other_db_nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
+    """Two databases of the catalog, each with a table of its own, read under qualified names in one statement."""
+    for db, name in (("tidemark_main", "customer"), ("tidemark_other", "nation")):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{scratch(spark)}'")
+        spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
+        spark.catalog.createTable(f"{db}.{name}", path=f"{sf_dir}/{name}.parquet", source="parquet")
+    return spark.sql("SELECT n.n_name, count(*) AS customers FROM tidemark_main.customer c JOIN tidemark_other.nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name")
 
 
 # ---- projection, filters, predicates ----
@@ -120,11 +124,21 @@ _ROLES = """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_n
             FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
             LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation nc ON c.c_nationkey = nc.n_nationkey LEFT JOIN nation ns ON s.s_nationkey = ns.n_nationkey LEFT JOIN region r ON nc.n_regionkey = r.r_regionkey"""
 _r.sql("s22_role_playing_joins", f"SELECT customer_region, customer_nation, supplier_nation, count(*) AS n, count(p_name) AS parts, min(s_name) AS first_supplier FROM ({_ROLES}) t GROUP BY customer_region, customer_nation, supplier_nation")
-_r.sql(
+@_r.query(
     "s24_catalog_join",
-    """SELECT t.name, t.kind, x.owner FROM (VALUES ('orders', 'table'), ('nation', 'table'), ('notices', 'view')) AS t(name, kind)
-       JOIN (VALUES ('orders', 'sales'), ('notices', 'ops')) AS x(name, owner) ON t.name = x.name""",
+    """SELECT t.table_name AS name, count(*) AS columns, count(CASE WHEN c.data_type = 'VARCHAR' THEN 1 END) AS text_columns FROM information_schema.tables t JOIN information_schema.columns c ON t.table_name = c.table_name AND t.table_schema = c.table_schema
+       WHERE t.table_schema = 'main' AND t.table_name IN ('orders', 'nation', 'region', 'customer') GROUP BY t.table_name""",
 )
+def catalog_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's list of tables joined to the columns that its catalog has for each."""
+    names = ("orders", "nation", "region", "customer")
+    for n in names:
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    tables = spark.sql("SHOW TABLES").where(F.col("tableName").isin(*names)).select(F.col("tableName").alias("name")).distinct()
+    columns = spark.createDataFrame([(n, c.name, c.dataType) for n in names for c in spark.catalog.listColumns(n)], "name string, column string, type string")
+    return tables.join(columns, "name").groupBy("name").agg(F.count(F.lit(1)).alias("columns"), F.count(F.when(F.col("type") == "string", 1)).alias("text_columns"))
+
+
 _r.sql("s25_comma_join", "SELECT a.n AS tables, b.n AS rows_in_region FROM (SELECT count(*) AS n FROM nation) a, (SELECT count(*) AS n FROM region) b")
 
 # ---- aggregation ----
@@ -149,11 +163,21 @@ _r.sql(
     "s31_safe_ratio",
     """SELECT o_orderpriority, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / greatest(1, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)), 3) AS price_per_partial FROM orders GROUP BY o_orderpriority""",
 )
-_r.sql(
+@_r.query(
     "s32_nearest_rank",
     """SELECT pos, value FROM (SELECT value, row_number() OVER (ORDER BY value, event_id) AS pos, count(*) OVER () AS total FROM events) t
-       WHERE pos IN (greatest(1, total {div} 2), greatest(1, total * 9 {div} 10), greatest(1, total * 99 {div} 100), total)""",
+       WHERE pos IN (greatest(1, total // 2), greatest(1, total * 9 // 10), greatest(1, total * 99 // 100), total)""",
 )
+def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values at four places of the whole order: values are counted, and counts summed along it."""
+    counts = table(spark, sf_dir, "events").groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    upto = running(counts, ["value"], "c", "upto")
+    total = table(spark, sf_dir, "events").count()
+    wanted = sorted({max(1, total // 2), max(1, total * 9 // 10), max(1, total * 99 // 100), total}) if total else []
+    at = upto.select("value", "upto", "c", F.explode(F.array(*[F.lit(w).cast("long") for w in wanted] or [F.lit(0).cast("long")])).alias("pos"))
+    return at.where("pos <= upto AND pos > upto - c").select("pos", "value")
+
+
 _r.sql(
     "s33_bucket_group",
     """SELECT CASE WHEN n_chars <= 500 THEN 'small' WHEN n_chars <= 4000 THEN 'middle' ELSE 'large' END AS bucket, lang, count(*) AS n, {spark:sum(n_chars)}{duck:sum(n_chars)::BIGINT} AS chars
@@ -215,16 +239,6 @@ def page_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clamped_page(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"], 99, 20)
 
 
-def positions(df: DataFrame, order: list[str], first: str) -> DataFrame:
-    """df with pos, its place from 0 in the given order, without gathering all rows in one task: rows are range-dealt,
-    numbered inside their slice, and moved up by the sizes of the slices before."""
-    dealt = df.repartitionByRange(first).withColumn("_slice", F.spark_partition_id())
-    sizes = dealt.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_slice", (F.sum("_n").over(W.orderBy("_slice")) - F.col("_n")).alias("_before"))
-    inside = dealt.withColumn("_rn", F.row_number().over(W.partitionBy("_slice").orderBy(*order)) - 1)
-    return inside.join(F.broadcast(before), "_slice").withColumn("pos", F.col("_before") + F.col("_rn")).drop("_slice", "_before", "_rn")
-
-
 @_r.query(
     "s38_positional_sample",
     """SELECT item_id, pos FROM (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark) t
@@ -235,10 +249,14 @@ def positional_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id")
     n = b.count()
     wanted = sorted({i * (n - 1) // 15 for i in range(16)}) if n else []
-    return positions(b, ["item_id"], "item_id").where(F.col("pos").isin(wanted))
+    return positions(b, ["item_id"]).where(F.col("pos").isin(wanted))
 
 
-_r.sql("s39_deterministic_shuffle", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('seed-7:', CAST(doc_id AS {spark:STRING}{duck:VARCHAR}))), doc_id) AS place, lang FROM documents")
+@_r.query("s39_deterministic_shuffle", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(concat('seed-7:', CAST(doc_id AS VARCHAR))), doc_id) AS place, lang FROM documents")
+def shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same order each time, from a digest of seed and key; places are numbered per slice, as languages are few."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.concat(F.lit("seed-7:"), F.col("doc_id").cast("string"))).alias("digest"))
+    return positions(d, ["digest", "doc_id"], ["lang"]).select("doc_id", (F.col("pos") + 1).alias("place"), "lang")
 
 
 @_r.query("s40_max_rows", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 50")
@@ -251,10 +269,15 @@ def max_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rows], "o_orderkey long, o_custkey long")
 
 
-_r.sql(
+@_r.query(
     "s41_case_order",
-    """SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey) AS place, o_orderstatus FROM orders WHERE o_orderkey < 400""",
+    "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderkey) AS place, o_orderstatus FROM orders",
 )
+def case_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all orders in an order of own making."""
+    o = table(spark, sf_dir, "orders").withColumn("own", F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3))
+    return positions(o.select("own", "o_orderkey", "o_orderpriority", "o_orderstatus"), ["own", "o_orderkey"]).select("o_orderkey", "o_orderpriority", (F.col("pos") + 1).alias("place"), "o_orderstatus")
+
 
 # ---- sets and scalars ----
 
@@ -271,7 +294,7 @@ _r.sql(
 )
 _r.sql(
     "s45_numeric",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey {div} 7 AS whole, l_orderkey % 7 AS rest, CAST(round(l_extendedprice * 100) AS BIGINT) {div} greatest(1, CAST(l_quantity AS BIGINT)) AS unit_cents, round(CAST(l_partkey AS DOUBLE) / 8, 3) AS eighth, greatest(l_quantity, 10.0E0) AS at_least_ten, CAST(l_quantity AS INT) AS quantity, CAST(l_partkey AS DOUBLE) / 4 AS quarter FROM lineitem WHERE l_orderkey < 2000""",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey {div} 7 AS whole, l_orderkey % 7 AS rest, CAST(round(l_extendedprice * 100) AS BIGINT) {div} greatest(1, CAST(l_quantity AS BIGINT)) AS unit_cents, round(CAST(l_partkey AS DOUBLE) / 8, 3) AS eighth, greatest(l_quantity, 10.0E0) AS at_least_ten, CAST(l_quantity AS INT) AS quantity, CAST(l_partkey AS DOUBLE) / 4 AS quarter FROM lineitem""",
 )
 _r.sql("s46_affinity", "SELECT v, {spark:coalesce(try_cast(v AS DOUBLE), 0D)}{duck:coalesce(try_cast(v AS DOUBLE), 0)} / 1048576.0E0 AS mib FROM (VALUES ('1048576'), ('2097152.5'), ('junk')) AS t(v)")
 
@@ -281,7 +304,7 @@ _r.sql("s46_affinity", "SELECT v, {spark:coalesce(try_cast(v AS DOUBLE), 0D)}{du
 @_r.query("s10_csv_import", "SELECT event_type, count(*) AS n, sum(CASE WHEN value > 10 THEN 1 ELSE 0 END)::BIGINT AS over_ten FROM events GROUP BY event_type")
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns come in as text and are cast in the query."""
-    from tidemark.sources.csvio import read_csv, scratch, write_csv
+    from tidemark.sources.csvio import read_csv, write_csv
 
     path = scratch(spark)
     write_csv(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path)
@@ -291,7 +314,7 @@ def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_r.query("s11_csv_sink", "SELECT count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, 'o_orderkey,o_orderpriority' AS header FROM orders")
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.sources.csvio import scratch, write_csv
+    from tidemark.sources.csvio import write_csv
 
     path = scratch(spark)
     write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), path)
