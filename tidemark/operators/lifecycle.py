@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.dialect import Registry
 from tidemark.sources.scratch import scratch
-from tidemark.sources.store import ChunkedImport, Store, StoreError, export_table, import_table
+from tidemark.sources.store import ChunkedImport, Store, StoreError, check_ranges, export_table, import_table
 from tidemark.sources.tables import table
 
 _r = Registry()
@@ -48,10 +48,12 @@ def _chunked(spark, sf_dir):
     store.seal()
     job = ChunkedImport(store, src, pages)
     job.step(-(-pages // 4))
-    job.paused = True
+    job.pause()
     if job.step(1):
         raise StoreError("a paused import went on")
-    job.paused = False
+    job = ChunkedImport(Store(spark, store.backend.path, _VALUES), src, pages)  # as another process would go on
+    job.resume()
+    store = job.store
     while job.step(-(-pages // 4)):
         pass
     return store.view().resolve()
@@ -67,6 +69,31 @@ def _backend(spark, sf_dir):
     return spark.createDataFrame([*rows, ("range", True, len(piece), piece)], "step string, created boolean, size int, content string")
 
 
+@_r.query("v05_request_rules", "SELECT * FROM (VALUES ('whole', 'ok'), ('empty', 'ok'), ('4096 ranges', 'ok'), ('4097 ranges', 'refused'), ('beyond the end', 'refused'), ('negative', 'refused'), ('fraction', 'refused'), ('64 MiB', 'ok'), ('64 MiB and a byte', 'refused')) AS t(batch, outcome)")
+def _rules(spark, sf_dir):
+    """What a batch of range reads may ask for, of an object of 100 MiB."""
+    batches = {
+        "whole": [(0, 1 << 20)],
+        "empty": [],
+        "4096 ranges": [(i, 1) for i in range(4096)],
+        "4097 ranges": [(i, 1) for i in range(4097)],
+        "beyond the end": [((100 << 20) - 1, 2)],
+        "negative": [(-1, 1)],
+        "fraction": [(0.5, 1)],
+        "64 MiB": [(0, 32 << 20), (0, 32 << 20)],
+        "64 MiB and a byte": [(0, 32 << 20), (0, (32 << 20) + 1)],
+    }
+
+    def outcome(ranges) -> str:
+        try:
+            check_ranges(ranges, 100 << 20)
+        except StoreError:
+            return "refused"
+        return "ok"
+
+    return spark.createDataFrame([(n, outcome(x)) for n, x in batches.items()], "batch string, outcome string")
+
+
 _CHANGED = (
     _BASE
     + """SELECT page, customer, CASE WHEN page % 7 = 0 THEN 'X' ELSE status END AS status, CASE WHEN page % 5 = 0 THEN 1.5 ELSE price END AS price FROM b WHERE page % 11 <> 3
@@ -194,6 +221,16 @@ def _relocate(spark, sf_dir):
     return s.view().resolve()
 
 
+@_r.query("v35_maintain", _CHANGED)
+def _maintain(spark, sf_dir):
+    """Upkeep of a chain that has grown to its configured length: the same rows from a single run."""
+    s = _changed(spark, sf_dir)
+    s.configure(max_runs=4, collect_budget=100)
+    if s.maintain()["action"] != "compact" or len(s.view().manifest["runs"]) != 1 or s.maintain()["action"] != "idle":
+        raise StoreError("maintenance left a chain")
+    return s.view().resolve()
+
+
 @_r.query("v34_dictionary_adoption", "SELECT 'd2' AS dictionary, 4 AS txid, true AS same_runs")
 def _dictionary(spark, sf_dir):
     s = _changed(spark, sf_dir)

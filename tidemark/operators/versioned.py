@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.plans.dialect import Registry
+from tidemark.sources.scratch import written
 from tidemark.sources.tables import table
 
 _r = Registry()
@@ -89,10 +90,19 @@ HASH_FAN = 4096
 
 
 def content_root(versions: DataFrame) -> DataFrame:
-    """One row: root hash over (page, checksum) in page order, as a tree of two levels with bounded nodes below."""
+    """One row: root hash over (page, checksum) in page order, as a tree whose nodes all have HASH_FAN children at most."""
+    high = versions.agg(F.max("page")).first()[0] or 0
     leaf = versions.groupBy(F.expr(f"page div {HASH_FAN}").alias("node")).agg(F.array_sort(F.collect_list(F.struct("page", "checksum"))).alias("xs"))
-    leaf = leaf.select("node", F.sha2(F.array_join(F.transform("xs", lambda x: F.concat_ws("=", x.page.cast("string"), x.checksum)), ","), 256).alias("h"))
-    return leaf.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: x.h), ","), 256).alias("root"))
+    level = leaf.select("node", F.sha2(F.array_join(F.transform("xs", lambda x: F.concat_ws("=", x.page.cast("string"), x.checksum)), ","), 256).alias("h"))
+
+    def joined(by):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "h"))), lambda x: x.h), ","), 256).alias(by)
+
+    high //= HASH_FAN
+    while high >= HASH_FAN:
+        level = level.groupBy(F.expr(f"node div {HASH_FAN}").alias("up")).agg(joined("h")).withColumnRenamed("up", "node")
+        high //= HASH_FAN
+    return level.agg(joined("root"))
 
 
 def run_or_checkpoint(depth: int, entries: int, resolved: int, budget_left: int) -> str:
@@ -252,12 +262,26 @@ def _root(spark, sf_dir):
     return content_root(_checksum(spark, sf_dir))
 
 
-@_r.query("v22_verify", "SELECT count(*) AS pages, 0::BIGINT AS mismatches FROM orders")
+def verify_checksums(recorded: DataFrame, stored: DataFrame) -> DataFrame:
+    """page, found ('missing', 'unrecorded' or 'differs') of pages whose recorded checksum isn't that of what is stored."""
+    j = recorded.select("page", F.col("checksum").alias("_a")).join(stored.select("page", F.col("checksum").alias("_b")), "page", "full")
+    found = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "unrecorded").when(F.col("_a") != F.col("_b"), "differs")
+    return j.select("page", found.alias("found")).where("found IS NOT NULL")
+
+
+@_r.query(
+    "v22_verify",
+    "SELECT found, count(*) AS pages FROM (SELECT CASE WHEN o_orderkey % 1000 = 7 THEN 'differs' WHEN o_orderkey % 1000 = 8 THEN 'missing' END AS found FROM orders UNION ALL SELECT 'unrecorded') t WHERE found IS NOT NULL GROUP BY found",
+)
 def _verify(spark, sf_dir):
-    """Checksums recomputed from the payload against the recorded ones."""
-    recorded = _checksum(spark, sf_dir)
-    again = _checksum(spark, sf_dir).withColumnRenamed("checksum", "again")
-    return recorded.join(again, "page").agg(F.count(F.lit(1)).alias("pages"), F.count(F.when(F.col("checksum") != F.col("again"), 1)).alias("mismatches"))
+    """Checksums are written down first; then some stored pages are damaged, lost or added, and verification finds them."""
+    recorded = written(_checksum(spark, sf_dir))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), "o_custkey", "o_orderstatus")
+    extra = o.agg((F.max("page") + 1).alias("page")).select("page", F.lit(0).cast("long").alias("o_custkey"), F.lit("?").alias("o_orderstatus"))
+    damaged = o.where("page % 1000 <> 8").withColumn("o_orderstatus", F.when(F.col("page") % 1000 == 7, "x").otherwise(F.col("o_orderstatus")))
+    stored = written(damaged.unionByName(extra))
+    again = stored.select("page", page_checksum("page", F.col("page"), F.col("o_custkey"), F.col("o_orderstatus")).alias("checksum"))
+    return verify_checksums(recorded, again).groupBy("found").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @_r.query(

@@ -1,4 +1,5 @@
-"""Folders for what queries write: below the cluster's shared checkpoint folder, or a temporary one in tests."""
+"""Folders for what queries write: below the cluster's shared checkpoint folder, or a temporary one where driver and
+executors are one process, as in tests. On a cluster without that setting nothing is written."""
 
 from __future__ import annotations
 
@@ -13,6 +14,9 @@ _own: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")

@@ -9,11 +9,14 @@ driver writes at a time; readers are bound to the file list of their manifest an
 from __future__ import annotations
 
 import json
+import os
 import re
 import secrets
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,55 +34,105 @@ class Busy(StoreError):
     pass
 
 
+#: Most ranges and most bytes that one batch of range reads may ask for.
+MAX_RANGES, MAX_BATCH = 4096, 64 << 20
+
+
+def check_ranges(ranges: list[tuple[int, int]], size: int, name: str = "object") -> None:
+    """The rules of a batch of range reads: whole numbers inside the object, so many ranges and bytes at most."""
+    if len(ranges) > MAX_RANGES:
+        raise StoreError(f"{len(ranges)} ranges; at most {MAX_RANGES} are allowed")
+    for o, n in ranges:
+        if isinstance(o, bool) or isinstance(n, bool) or not isinstance(o, int) or not isinstance(n, int):
+            raise StoreError("offsets and lengths are integers")
+        if o < 0 or n < 0 or o + n > size:
+            raise StoreError(f"range {o}+{n} is outside {name} of {size} bytes")
+    if sum(n for _, n in ranges) > MAX_BATCH:
+        raise StoreError(f"more than {MAX_BATCH} bytes in one batch")
+
+
 class Backend:
     """Objects below a path of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._P = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._P(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._P = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._P(self.path).getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._P(f"{self.path}/{name}")
 
     def put_new(self, name: str, data: bytes) -> bool:
-        """Create an object; False if it is there already. The object appears complete or not at all."""
+        """Create an object; False if it is there already. The object appears complete or not at all, and of writers at
+        the same time one succeeds: a hard link locally, elsewhere a rename that overwrites nothing."""
+        if self.fs.getScheme() == "file":
+            return self._link_new(name, data)
         part = self._at(f"_staged-{secrets.token_hex(8)}")
         out = self.fs.create(part, False)
         out.write(bytearray(data))
         out.close()
-        if self.fs.exists(self._at(name)):
-            self.fs.delete(part, False)
+        return self._rename_new(part, self._at(name))
+
+    def _link_new(self, name: str, data: bytes) -> bool:
+        top = self.fs.makeQualified(self._P(self.path)).toUri().getPath()
+        part = f"{top}/_staged-{secrets.token_hex(8)}"
+        os.makedirs(top, exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(data)
+        try:
+            os.link(part, f"{top}/{name}")
+        except FileExistsError:
             return False
-        done = self.fs.rename(part, self._at(name))
-        if not done:
+        finally:
+            os.remove(part)
+        return True
+
+    def _rename_new(self, part, to) -> bool:
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        never = self.spark.sparkContext._gateway.new_array(rename, 1)
+        never[0] = rename.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self._conf).rename(part, to, never)
+        except Py4JJavaError as e:
             self.fs.delete(part, False)
-        return bool(done)
+            if "AlreadyExists" in e.java_exception.getClass().getSimpleName():
+                return False
+            raise
+        return True
 
     def read(self, name: str) -> bytes:
-        return b"\n".join(bytes(r.content) for r in self.spark.read.format("binaryFile").load(f"{self.path}/{name}").select("content").collect())
+        stream = self.fs.open(self._at(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
 
     def read_ranges(self, name: str, ranges: list[tuple[int, int]]) -> list[bytes]:
-        """(offset, length) pieces, in the order asked for."""
-        data = self.read(name)
-        out = []
-        for o, n in ranges:
-            if o < 0 or n < 0 or o + n > len(data):
-                raise StoreError(f"range {o}+{n} is outside {name} of {len(data)} bytes")
-            out.append(data[o : o + n])
+        """(offset, length) pieces, in the order asked for; only they are read."""
+        check_ranges(ranges, self.stat(name) or 0, name)
+        stream, out = self.fs.open(self._at(name)), []
+        try:
+            for o, n in ranges:
+                stream.seek(o)
+                out.append(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)))
+        finally:
+            stream.close()
         return out
 
     def stat(self, name: str) -> int | None:
         p = self._at(name)
         return int(self.fs.getContentSummary(p).getLength()) if self.fs.exists(p) else None
 
+    def names(self, prefix: str = "") -> dict[str, int]:
+        """Names and times of change (ms) of what starts so: one listing, nothing is measured."""
+        found = self.fs.globStatus(self._P(f"{self.path}/{prefix}*")) or []
+        return {n: int(s.getModificationTime()) for s in found if not (n := s.getPath().getName()).startswith(("_", "."))}
+
     def inventory(self, page: int = 1000, after: str = "") -> list[tuple[str, int]]:
-        """Names and sizes in name order, at most page of them after a name."""
-        if not self.fs.exists(self._P(self.path)):
-            return []
-        found = sorted((s.getPath().getName(), int(self.fs.getContentSummary(s.getPath()).getLength())) for s in self.fs.listStatus(self._P(self.path)))
-        return [x for x in found if x[0] > after and not x[0].startswith(("_", "."))][:page]
+        """Names and sizes in name order, at most page of them after a name; only these are measured."""
+        return [(n, self.stat(n) or 0) for n in sorted(n for n in self.names() if n > after)[:page]]
 
     def delete(self, name: str, permit: bool) -> None:
         if not permit:
@@ -125,20 +178,19 @@ class Store:
         self.schema = T.StructType.fromDDL(f"page bigint, op string, {values}")
         self.values = [f.name for f in self.schema if f.name not in ("page", "op")]
         self.root = self._latest() or {"revision": 0, "manifests": {}, "heads": {head: None}, "pins": {}, "placements": {}}
+        for part in ("batches", "imports", "config"):
+            self.root.setdefault(part, {})
         self._staged: list[tuple[DataFrame, int]] = []
+        self._own: set[str] = set()
         self._marks: dict[str, int] = {}
         self._size: int | None = None
 
     # -- root --
 
     def _latest(self) -> dict | None:
-        names, after = [], ""
-        while page := self.backend.inventory(after=after):
-            names += [n for n, _ in page if n.startswith("root.")]
-            after = page[-1][0]
-        if not names:
-            return None
-        return json.loads(self.backend.read(max(names, key=lambda n: int(n.split(".")[1]))).decode())
+        names = self.backend.names("root.")
+        revisions = [int(n.split(".")[1]) for n in names if n.split(".")[1].isdigit()]
+        return json.loads(self.backend.read(f"root.{max(revisions)}.json").decode()) if revisions else None
 
     def swap(self, change: Callable[[dict], dict], tries: int = 5) -> str:
         """Apply change to the newest root and publish it: applied, or stale after so many lost races."""
@@ -151,16 +203,26 @@ class Store:
                 return "applied"
         return "stale"
 
+    def _apply(self, change: Callable[[dict], dict]) -> None:
+        if self.swap(change) != "applied":
+            raise Busy("the root kept changing")
+
     def swap_at(self, revision: int, new: dict) -> str:
         """Publish new only if revision is still the newest."""
+        now = self._latest()
+        if now is not None and now["revision"] != revision:
+            return "stale"
         new = {**new, "revision": revision + 1}
         if self.backend.put_new(f"root.{revision + 1}.json", json.dumps(new, sort_keys=True).encode()):
             self.root = new
             return "applied"
         return "stale"
 
+    def _place(self, obj: str) -> str:
+        return self.root["placements"].get(obj, [obj])[0]
+
     def _read(self, obj: str) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.backend.path}/{self.root['placements'].get(obj, [obj])[0]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.backend.path}/{self._place(obj)}")
 
     # -- versions --
 
@@ -196,6 +258,7 @@ class Store:
     def _stage(self, entries: DataFrame, size: int | None = None) -> None:
         kept = entries.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         name = f"staged-{secrets.token_hex(8)}"
+        self._own.add(name)
         kept.write.parquet(f"{self.backend.path}/{name}")
         df = self.spark.read.schema(self.schema).parquet(f"{self.backend.path}/{name}")
         if size is None:
@@ -235,8 +298,22 @@ class Store:
 
     # -- sealing --
 
-    def seal(self, dictionary: str | None = None) -> str:
-        """Publish the staged changes as one run of the head, or as a checkpoint where a run doesn't pay."""
+    def _checksum(self, obj: str) -> dict:
+        """rows, puts, puts beyond no page, and a sum over row hashes that doesn't depend on their order."""
+        rows = self._read(obj)
+        hashed = F.xxhash64(*[F.coalesce(F.col(f.name).cast("string"), F.lit("\0")) for f in self.schema])
+        r = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(hashed.cast("decimal(20,0)")).alias("total")).first()
+        return {"rows": r.rows, "sum": str(r.total or 0)}
+
+    def _write(self, rows: DataFrame, size: int, txid: int) -> dict:
+        obj = f"run-{secrets.token_hex(8)}"
+        rows.select(self.schema.fieldNames()).write.parquet(f"{self.backend.path}/{obj}")
+        return {"object": obj, "size": size, "txid": txid, **self._checksum(obj)}
+
+    def seal(self, dictionary: str | None = None, note: Callable[[dict], dict] | None = None, byte_budget: int | None = None) -> str:
+        """Publish the staged changes as one run of the head, or as a checkpoint where a run doesn't pay: the chain is
+        full, the run isn't smaller than the table, or the chain would outgrow byte_budget (the store's config, if not
+        given). What it costs follows the run, unless a checkpoint is due. note changes the root in the same swap."""
         if not self._staged:
             raise StoreError("nothing to seal")
         size = self._staged[-1][1]
@@ -253,41 +330,45 @@ class Store:
         runs = self.root["manifests"][parent]["runs"] if parent else []
         low = min(s for _, s in self._staged)
         txid = (self.root["manifests"][parent]["end"] if parent else 0) + 1
-        obj = f"run-{secrets.token_hex(8)}"
-        choice = "checkpoint"
+        choice, pages = "checkpoint", 0
         if parent:
-            n, resolved = run.count(), self.current().count()
-            choice = V.run_or_checkpoint(len(runs), n, resolved, 0)
+            new = self._write(run, size, txid)
+            # a lower bound: tombstones may have hit pages nobody wrote, and puts may have filled such
+            facts = self._read(new["object"]).agg(F.count(F.when((F.col("op") == "put") & (F.col("page") > runs[-1]["size"]), 1)).alias("more"), F.count(F.when(F.col("op") == "del", 1)).alias("less")).first()
+            pages = max(0, min(self.root["manifests"][parent].get("pages", 0), low) + facts.more - facts.less)
+            budget = byte_budget if byte_budget is not None else self.root.get("config", {}).get("byte_budget")
+            held = sum(self.backend.stat(self._place(r["object"])) or 0 for r in [*runs, new][1:]) if budget is not None else 0
+            choice = V.run_or_checkpoint(len(runs), new["rows"], pages, (budget or 0) - held)
         if choice == "run":
             if low < min(size, runs[-1]["size"]):  # truncated and regrown within one seal: the low point is a run of its own
-                empty = f"run-{secrets.token_hex(8)}"
-                self.spark.createDataFrame([], self.schema).write.parquet(f"{self.backend.path}/{empty}")
-                runs = [*runs, {"object": empty, "size": low, "txid": txid}]
-            run.write.parquet(f"{self.backend.path}/{obj}")
-            runs = [*runs, {"object": obj, "size": size, "txid": txid}]
+                runs = [*runs, self._write(self.spark.createDataFrame([], self.schema), low, txid)]
+            runs = [*runs, new]
         else:
-            self.current().withColumn("op", F.lit("put")).select(self.schema.fieldNames()).write.parquet(f"{self.backend.path}/{obj}")
-            runs = [{"object": obj, "size": size, "txid": txid}]
-        mid = self._publish(runs, parent, txid, choice, dictionary)
+            runs = [self._write(self.current().withColumn("op", F.lit("put")), size, txid)]
+            pages = runs[0]["rows"]
+        mid = self._publish(runs, parent, txid, choice, dictionary, pages, note)
         self.rollback()
         return mid
 
-    def _publish(self, runs: list[dict], parent: str | None, txid: int, kind: str, dictionary: str | None = None) -> str:
+    def flush(self) -> str | None:
+        """Seal what is staged, if anything is."""
+        return self.seal() if self._staged else None
+
+    def _publish(self, runs: list[dict], parent: str | None, txid: int, kind: str, dictionary: str | None = None, pages: int = 0, note: Callable[[dict], dict] | None = None) -> str:
         mid = f"m-{secrets.token_hex(8)}"
         begin = runs[0]["txid"]
         if dictionary is None and parent:
             dictionary = self.root["manifests"][parent].get("dictionary")
-        manifest = {"id": mid, "parent": parent, "runs": runs, "begin": begin, "end": txid, "kind": kind, "dictionary": dictionary}
+        manifest = {"id": mid, "parent": parent, "runs": runs, "begin": begin, "end": txid, "kind": kind, "dictionary": dictionary, "pages": pages}
 
         def change(root: dict) -> dict:
             if root["heads"].get(self.name) != parent:
                 raise Busy("the head moved while this seal was prepared")
             root["manifests"][mid] = manifest
             root["heads"][self.name] = mid
-            return root
+            return note(root) if note else root
 
-        if self.swap(change) != "applied":
-            raise Busy("the root kept changing")
+        self._apply(change)
         return mid
 
     def compact(self) -> str:
@@ -297,14 +378,13 @@ class Store:
         view = self.view()
         if len(view.manifest["runs"]) == 1:
             return view.manifest["id"]
-        obj = f"run-{secrets.token_hex(8)}"
-        view.resolve().withColumn("op", F.lit("put")).select(self.schema.fieldNames()).write.parquet(f"{self.backend.path}/{obj}")
-        return self._publish([{"object": obj, "size": view.size, "txid": view.txid}], view.manifest["id"], view.txid, "checkpoint")
+        run = self._write(view.resolve().withColumn("op", F.lit("put")), view.size, view.txid)
+        return self._publish([run], view.manifest["id"], view.txid, "checkpoint", pages=run["rows"])
 
     def adopt_dictionary(self, dictionary: str) -> str:
         """Another preferred dictionary at the same endpoint; no payload is rewritten."""
         view = self.view()
-        return self._publish(view.manifest["runs"], view.manifest["id"], view.txid, view.manifest["kind"], dictionary)
+        return self._publish(view.manifest["runs"], view.manifest["id"], view.txid, view.manifest["kind"], dictionary, view.manifest.get("pages", 0))
 
     # -- branches, pins --
 
@@ -315,9 +395,9 @@ class Store:
             root["heads"][name] = root["heads"][self.name]
             return root
 
-        self.swap(change)
+        self._apply(change)
         other = Store.__new__(Store)
-        other.__dict__.update(self.__dict__, name=name, _staged=[], _marks={}, _size=None)
+        other.__dict__.update(self.__dict__, name=name, _staged=[], _own=set(), _marks={}, _size=None)
         return other
 
     def refresh(self) -> "Store":
@@ -334,7 +414,7 @@ class Store:
             del root["heads"][name]
             return root
 
-        self.swap(change)
+        self._apply(change)
 
     def retain(self, name: str) -> str:
         """Keep the present version under a name; the token is needed to release or advance it."""
@@ -348,30 +428,30 @@ class Store:
             root["pins"][name] = {"manifest": root["heads"][self.name], "token": token}
             return root
 
-        self.swap(change)
+        self._apply(change)
         return token
 
     def advance_retention(self, name: str, token: str) -> str:
         new = secrets.token_hex(16)
 
         def change(root: dict) -> dict:
-            self._own(root, name, token)
+            self._check_token(root, name, token)
             root["pins"][name] = {"manifest": root["heads"][self.name], "token": new}
             return root
 
-        self.swap(change)
+        self._apply(change)
         return new
 
     def release_retention(self, name: str, token: str) -> None:
         def change(root: dict) -> dict:
-            self._own(root, name, token)
+            self._check_token(root, name, token)
             del root["pins"][name]
             return root
 
-        self.swap(change)
+        self._apply(change)
 
     @staticmethod
-    def _own(root: dict, name: str, token: str) -> None:
+    def _check_token(root: dict, name: str, token: str) -> None:
         if root["pins"].get(name, {}).get("token") != token:
             raise StoreError(f"stale or unknown pin {name}")
 
@@ -392,23 +472,83 @@ class Store:
         logical = {r["object"] for m in roots for r in self.root["manifests"][m]["runs"]}
         return {o for x in logical for o in self.root["placements"].get(x, [x])}
 
-    def collect(self, budget: int = 8) -> list[str]:
-        """Delete the first budget objects that nothing reaches, in name order; missing objects stop it before."""
+    #: Roots that stay besides the newest, so that a writer who read one of them still finds its successor taken.
+    OLD_ROOTS = 64
+
+    def collect(self, budget: int = 8, grace: float = 3600.0) -> list[str]:
+        """Delete the first budget objects that nothing reaches, in name order; missing objects stop it before. Staged
+        objects of other writers stay for grace seconds. Manifests that no head and no pin has leave the root, and old
+        roots go, so that metadata grows with what is kept and not with the number of seals."""
         self.refresh()
         keep = self._reached()
-        have = [n for n, _ in self.backend.inventory(1 << 30)]
+        have = self.backend.names()
         if missing := keep - set(have):
             raise StoreError(f"missing objects: {sorted(missing)}")
-        dead = [n for n in have if n.startswith(("run-", "staged-")) and n not in keep][:budget]
+        since = (time.time() - grace) * 1000
+        mine = {n for n in self._own if self._staged}
+        free = (n for n in sorted(have) if n not in keep and (n.startswith("run-") or (n.startswith("staged-") and n not in mine and (n in self._own or have[n] < since))))
+        dead = [n for _, n in zip(range(budget), free)]
         for n in dead:
             self.backend.delete(n, True)
+        roots = {m for m in self.root["heads"].values() if m} | {p["manifest"] for p in self.root["pins"].values()}
+        if set(self.root["manifests"]) - roots:
+
+            def change(root: dict) -> dict:
+                held = {m for m in root["heads"].values() if m} | {p["manifest"] for p in root["pins"].values()}
+                root["manifests"] = {m: x for m, x in root["manifests"].items() if m in held}
+                used = {r["object"] for x in root["manifests"].values() for r in x["runs"]}
+                root["placements"] = {o: x for o, x in root["placements"].items() if o in used}
+                return root
+
+            self._apply(change)
+        for n in have:
+            if n.startswith("root.") and n.split(".")[1].isdigit() and int(n.split(".")[1]) < self.root["revision"] - self.OLD_ROOTS:
+                self.backend.delete(n, True)
         return dead
 
+    def configure(self, **settings: int) -> dict:
+        """Set max_runs, byte_budget or collect_budget of the store, kept in its root; returns all that is set."""
+        unknown = settings.keys() - {"max_runs", "byte_budget", "collect_budget"}
+        if unknown or any(isinstance(v, bool) or not isinstance(v, int) or v < 1 for v in settings.values()):
+            raise StoreError(f"settings are max_runs, byte_budget and collect_budget, as positive integers: {settings}")
+
+        def change(root: dict) -> dict:
+            root["config"] = {**root.get("config", {}), **settings}
+            return root
+
+        if settings:
+            self._apply(change)
+        return dict(self.root.get("config", {}))
+
+    def occupancy(self) -> DataFrame:
+        """object, entries, live: how many of a run's entries the version still reads."""
+        view = self.view()
+        names = self.spark.createDataFrame([(i, r["object"], r["rows"]) for i, r in enumerate(view.manifest["runs"])], "idx int, object string, entries long")
+        runs = self.spark.createDataFrame([(i, r["size"]) for i, r in enumerate(view.manifest["runs"])], "idx int, size long")
+        live = V.resolve(view.entries(), runs, []).groupBy("idx").agg(F.count(F.lit(1)).alias("live"))
+        return names.join(live, "idx", "left").select("object", "entries", F.coalesce("live", F.lit(0)).alias("live"))
+
+    def maintain(self) -> dict:
+        """One round of upkeep: Busy with staged changes; a chain that is long, or of which under half is still read, is
+        written anew as one run (copied whole if all of it is live); then what nothing reaches is collected."""
+        if self._staged:
+            raise Busy("unsealed changes")
+        config = self.root.get("config", {})
+        done: dict = {"action": "idle", "collected": 0}
+        if self.root["heads"].get(self.name):
+            runs = self.view().manifest["runs"]
+            sums = self.occupancy().agg(F.sum("entries").alias("e"), F.sum("live").alias("l")).first()
+            if len(runs) > 1 and (len(runs) >= config.get("max_runs", V.MAX_RUNS) or 2 * (sums.l or 0) < (sums.e or 0)):
+                self.compact()
+                done["action"] = "compact"
+        done["collected"] = len(self.collect(config.get("collect_budget", 8)))
+        return done
+
     def relocate(self, budget_bytes: int) -> list[str]:
         """Copy reached objects within a byte budget; the copy becomes the preferred, first placement."""
         moved = []
         for obj in sorted({r["object"] for m in self.root["heads"].values() if m for r in self.root["manifests"][m]["runs"]}):
-            n = self.backend.stat(self.root["placements"].get(obj, [obj])[0]) or 0
+            n = self.backend.stat(self._place(obj)) or 0
             if n > budget_bytes:
                 continue
             budget_bytes -= n
@@ -419,7 +559,7 @@ class Store:
                 root["placements"][obj] = [to, *root["placements"].get(obj, [obj])][:64]
                 return root
 
-            self.swap(change)
+            self._apply(change)
             moved.append(obj)
         return moved
 
@@ -428,8 +568,15 @@ class Store:
         line = F.sha2(F.concat_ws("|", "page", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in self.values]), 256)
         return V.content_root(r.select("page", line.alias("checksum")))
 
+    def mismatches(self) -> list[str]:
+        """Objects of the head's chain whose rows no longer have the count and checksum recorded when they were sealed."""
+        return [r["object"] for r in self.view().manifest["runs"] if self._checksum(r["object"]) != {"rows": r["rows"], "sum": r["sum"]}]
+
     def verify(self) -> int:
-        """Read every page of the head; pages that are out of range or occur twice stop it."""
+        """Recompute every run's recorded checksum and read every page of the head; a run that differs, and pages that
+        are out of range or occur twice, stop it. Returns the number of pages."""
+        if bad := self.mismatches():
+            raise StoreError(f"objects differ from their recorded checksums: {bad}")
         view = self.view()
         r = view.resolve()
         bad = r.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("d"), F.max("page").alias("high"), F.min("page").alias("low")).first()
@@ -457,23 +604,44 @@ def import_table(spark: SparkSession, rows: DataFrame, path: str, values: str) -
 
 
 class ChunkedImport:
-    """Import in key ranges, each a durable seal; pause and resume at any chunk. Rows written meanwhile win over the source."""
+    """Import in key ranges, each a durable seal; pause and resume at any chunk, also from another process: how far it
+    came is kept in the root, in the same swap as the chunk's seal. Rows written meanwhile win over the source."""
+
+    def __init__(self, store: Store, source: DataFrame, pages: int, name: str = "import"):
+        self.store, self.source, self.pages, self.name = store, source, pages, name
+        store.refresh()
+
+    @property
+    def _state(self) -> dict:
+        return self.store.root.get("imports", {}).get(self.name, {"next": 1, "paused": False})
+
+    def _noted(self, **changes) -> Callable[[dict], dict]:
+        def note(root: dict) -> dict:
+            states = root.setdefault("imports", {})
+            states[self.name] = {"next": 1, "paused": False, **states.get(self.name, {}), **changes}
+            return root
+
+        return note
+
+    def pause(self) -> None:
+        self.store._apply(self._noted(paused=True))
 
-    def __init__(self, store: Store, source: DataFrame, pages: int):
-        self.store, self.source, self.pages, self.next, self.paused = store, source, pages, 1, False
+    def resume(self) -> None:
+        self.store._apply(self._noted(paused=False))
 
     def step(self, chunk: int) -> bool:
         """One more chunk; False when done or paused."""
-        if self.paused or self.next > self.pages:
+        state = self._state
+        if state["paused"] or state["next"] > self.pages:
             return False
-        part = self.source.where(F.col("page").between(self.next, self.next + chunk - 1))
-        self.store.insert_or_ignore(part)
-        self.store.seal()
-        self.next += chunk
-        return self.next <= self.pages
+        first = state["next"]
+        self.store.insert_or_ignore(self.source.where(F.col("page").between(first, first + chunk - 1)))
+        self.store.seal(note=self._noted(next=first + chunk))
+        return first + chunk <= self.pages
 
     def status(self) -> dict:
-        return {"imported": min(self.next - 1, self.pages), "pages": self.pages, "paused": self.paused, "done": self.next > self.pages}
+        state = self._state
+        return {"imported": min(state["next"] - 1, self.pages), "pages": self.pages, "paused": state["paused"], "done": state["next"] > self.pages}
 
 
 def export_table(store: Store, path: str) -> None:

@@ -9,14 +9,25 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.sources.store import Store
 
 
-def append_runs(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """Seal one run per micro-batch. A batch that is replayed after a failure puts the same pages again: no change."""
+def append_runs(stream: DataFrame, store: Store, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Seal one run per micro-batch. Of a page's rows in a batch the one with the greatest order counts (a column of the
+    stream; without it the greatest values do). The root notes each batch with its seal, so that a batch which is
+    replayed after a failure is not sealed again."""
+    values = store.values
 
     def seal(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates(["page"])
-        if not rows.isEmpty():
+        if store.refresh().root.get("batches", {}).get(checkpoint, -1) >= batch_id:
+            return
+        by = F.struct(*([order] if order else []), *values)
+        rows = batch.groupBy("page").agg(F.max_by(F.struct(*values), by).alias("x")).select("page", "x.*")
+
+        def note(root: dict) -> dict:
+            root.setdefault("batches", {})[checkpoint] = batch_id
+            return root
+
+        if not batch.isEmpty():
             store.put(rows)
-            store.seal()
+            store.seal(note=note)
 
     return stream.writeStream.foreachBatch(seal).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
