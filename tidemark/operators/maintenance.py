@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions import folds
+from tidemark.functions.ordered import positions
 from tidemark.plans.dialect import Registry
-from tidemark.sources.tables import table
+from tidemark.sources.scratch import written
+from tidemark.sources.tables import NAMES, table
 
 _r = Registry()
 QUERIES, ORACLES = _r.queries, _r.oracles
@@ -27,11 +29,12 @@ _r.sql(
 _r.sql("m02_live_pages", "SELECT l_partkey AS pack, count(*) AS live_pages FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_partkey")
 
 
-def by_position(df: DataFrame, key: str, value: str, wanted: dict[str, str]) -> DataFrame:
+def by_position(df: DataFrame, keys: str | list[str], value: str, wanted: dict[str, str]) -> DataFrame:
     """Values at positions (SQL over n, from 1) of each key's sorted values, from counts per distinct value."""
-    part = W.partitionBy(key)
-    ranked = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("c")).withColumns({"upto": F.sum("c").over(part.orderBy(value)), "n": F.sum("c").over(part)})
-    return ranked.groupBy(key).agg(*[F.expr(f"max(CASE WHEN upto >= {pos} AND upto - c < {pos} THEN {value} END)").alias(name) for name, pos in wanted.items()])
+    keys = [keys] if isinstance(keys, str) else keys
+    part = W.partitionBy(*keys)
+    ranked = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")).withColumns({"upto": F.sum("c").over(part.orderBy(value)), "n": F.sum("c").over(part)})
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.expr(f"max(CASE WHEN upto >= {pos} AND upto - c < {pos} THEN {value} END)").alias(name) for name, pos in wanted.items()])
 
 
 @_r.query(
@@ -40,7 +43,7 @@ def by_position(df: DataFrame, key: str, value: str, wanted: dict[str, str]) ->
        FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events) t GROUP BY event_type""",
 )
 def _three(spark, sf_dir):
-    return by_position(table(spark, sf_dir, "events"), "event_type", "value", {f"p{p}": f"(n - 1) * {p} div 100 + 1" for p in (50, 95, 99)})
+    return by_position(table(spark, sf_dir, "events"), "event_type", "value", {f"p{p}": f"(n - 1) * {p} div 100 + 1" for p in (50, 95, 99)}).drop("n")
 
 
 @_r.query(
@@ -48,7 +51,7 @@ def _three(spark, sf_dir):
     "SELECT event_type, max(CASE WHEN pos = n // 2 THEN value END) AS upper_median FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events) t GROUP BY event_type",
 )
 def _upper(spark, sf_dir):
-    return by_position(table(spark, sf_dir, "events"), "event_type", "value", {"upper_median": "n div 2 + 1"})
+    return by_position(table(spark, sf_dir, "events"), "event_type", "value", {"upper_median": "n div 2 + 1"}).drop("n")
 
 
 # ---- reachability and collection ----
@@ -164,17 +167,36 @@ _r.sql(
 def select_repack(packs: DataFrame, budget: int) -> DataFrame:
     """Packs to rewrite: more than half reclaimable, best reclaim per live byte first, greedy with skip.
 
-    Eligible packs fit the budget each, so they are metadata; the fold over them runs in one SQL aggregate. The order
-    compares exact integer products, as decimals.
+    The order compares exact integer products, as decimals. Packs are range-dealt in that order, so the first slices hold
+    the best ones; a driver walk over the slices takes what fits from each, and stops where nothing is left of the budget.
+    At most one slice is in the driver at a time, and of it only packs that fit what is left.
     """
     eligible = packs.where((F.col("reclaimable") * 2 > F.col("frame_bytes")) & (F.col("live_bytes") <= budget))
     ratio = -(F.col("reclaimable").cast("decimal(38,18)") / F.greatest(F.col("live_bytes"), F.lit(1)).cast("decimal(20,0)"))
-    ordered = eligible.agg(F.array_sort(F.collect_list(F.struct(ratio.alias("o"), "pack", "live_bytes", "reclaimable"))).alias("xs"))
-    fold = f"aggregate(xs, named_struct('left', {budget}L, 'taken', cast(array() as array<bigint>)), (a, x) -> if(x.live_bytes <= a.left, named_struct('left', a.left - x.live_bytes, 'taken', array_append(a.taken, x.pack)), a)).taken"
-    return ordered.select(F.posexplode(F.expr(fold)).alias("place", "pack"))
-
-
-@_r.query("m16_repack_selection")
+    dealt = written(eligible.select(ratio.alias("o"), "pack", "live_bytes").repartitionByRange("o", "pack").withColumn("slice", F.spark_partition_id()))
+    taken: list[int] = []
+    low = dealt.groupBy("slice").agg(F.min("live_bytes").alias("low")).orderBy("slice").collect()
+    for r in low:
+        if r.low <= budget:
+            for x in dealt.where((F.col("slice") == r.slice) & (F.col("live_bytes") <= budget)).orderBy("o", "pack").toLocalIterator():
+                if x.live_bytes <= budget:
+                    budget -= x.live_bytes
+                    taken.append(x.pack)
+    return packs.sparkSession.createDataFrame(list(enumerate(taken)), "place int, pack long")
+
+
+#: The greedy choice is a fold over the packs in order: a recursive statement, one pack a step.
+_GREEDY = (
+    _OCC
+    + """, el AS (SELECT pack, live_record_bytes AS live, row_number() OVER (ORDER BY -((frame_bytes - live_record_bytes + partial_reclaim)::DECIMAL(38, 9) / greatest(live_record_bytes, 1)::DOUBLE), pack) AS k
+                  FROM oc WHERE (frame_bytes - live_record_bytes + partial_reclaim) * 2 > frame_bytes AND live_record_bytes <= 5000),
+      walk AS (SELECT 0::BIGINT AS k, 5000::BIGINT AS room, NULL::BIGINT AS pack, false AS took
+               UNION ALL SELECT el.k, CASE WHEN el.live <= room THEN room - el.live ELSE room END, el.pack, el.live <= room FROM walk JOIN el ON el.k = walk.k + 1)
+      SELECT (row_number() OVER (ORDER BY k) - 1)::INTEGER AS place, pack FROM walk WHERE took"""
+).replace("\nWITH fr", "\nWITH RECURSIVE fr", 1)
+
+
+@_r.query("m16_repack_selection", _GREEDY)
 def _select(spark, sf_dir):
     from tidemark.plans.dialect import run
 
@@ -219,12 +241,23 @@ def coalesce_ranges(ranges: DataFrame, gap: int, window: int, factor: int | None
     return ranges.select("blob", "start", "end").distinct().groupBy("blob").applyInPandas(run, "blob long, start long, end long, parts long")
 
 
-@_r.query("m18_maintenance_ranges")
+#: A fold in order, one range of each blob a step, all blobs at once.
+_COALESCE = """WITH RECURSIVE r AS (SELECT DISTINCT l_suppkey AS blob, l_orderkey AS a, l_orderkey + l_quantity::BIGINT AS b FROM lineitem),
+     o AS (SELECT *, row_number() OVER (PARTITION BY blob ORDER BY a, b) AS k FROM r),
+     w AS (SELECT blob, k, a AS lo, b AS hi, b - a AS held, 1 AS island FROM o WHERE k = 1
+           UNION ALL SELECT blob, k, CASE WHEN fits THEN lo ELSE a END, CASE WHEN fits THEN greatest(hi, b) ELSE b END, CASE WHEN fits THEN joint ELSE b - a END, island + (NOT fits)::INTEGER
+           FROM (SELECT o.blob, o.k, w.lo, w.hi, o.a, o.b, w.island, w.held + greatest(0, o.b - greatest(o.a, w.hi)) AS joint,
+                        o.a <= w.hi + {gap} AND greatest(w.hi, o.b) - w.lo <= {window} AND greatest(w.hi, o.b) - w.lo <= {factor} * (w.held + greatest(0, o.b - greatest(o.a, w.hi))) AS fits
+                 FROM w JOIN o ON o.blob = w.blob AND o.k = w.k + 1) s)
+     SELECT blob, min(lo) AS start, max(hi) AS "end", count(*) AS parts FROM w GROUP BY blob, island"""
+
+
+@_r.query("m18_maintenance_ranges", _COALESCE.format(gap=64, window=8192, factor=4))
 def _maintenance(spark, sf_dir):
     return coalesce_ranges(_ranges(spark, sf_dir), gap=64, window=8192, factor=4, single=16_384)
 
 
-@_r.query("m20_request_groups")
+@_r.query("m20_request_groups", _COALESCE.format(gap=8, window=256, factor=1 << 40))
 def _requests(spark, sf_dir):
     return coalesce_ranges(_ranges(spark, sf_dir), gap=8, window=256)
 
@@ -243,30 +276,45 @@ def _frames(spark, sf_dir):
     return f.agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
 
 
-@_r.query("m30_pack_rollover")
+#: Groups of a pack's frames in order: cut says whether a frame opens a new one, more what it adds to the open one.
+_STEPS = """WITH RECURSIVE f AS (SELECT l_suppkey AS pack, l_orderkey AS frame, sum(l_quantity::BIGINT)::BIGINT AS bytes FROM lineitem GROUP BY l_suppkey, l_orderkey),
+     o AS (SELECT *, frame // 4 AS page, row_number() OVER (PARTITION BY pack ORDER BY frame) AS k FROM f),
+     w AS (SELECT pack, frame, k, page, bytes AS held, 1 AS n, 0 AS g FROM o WHERE k = 1
+           UNION ALL SELECT pack, frame, k, page, CASE WHEN cut THEN bytes ELSE held + more END, CASE WHEN cut THEN 1 ELSE n + 1 END, g + cut::INTEGER
+           FROM (SELECT *, {cut} AS cut FROM (SELECT o.pack, o.frame, o.k, o.page, o.bytes, w.held, w.n, w.g, {more} AS more FROM w JOIN o ON o.pack = w.pack AND o.k = w.k + 1) s) t)
+     SELECT pack, frame, g AS {name} FROM w"""
+
+
+@_r.query("m30_pack_rollover", _STEPS.format(cut="held >= 1000", more="o.bytes", name="file"))
 def _rollover(spark, sf_dir):
     return _fold(_frames(spark, sf_dir), "pack", ["frame"], ["bytes"], "file", lambda p: folds.rollover(p["bytes"].tolist(), 1000))
 
 
-@_r.query("m31_bounded_batches")
+@_r.query("m31_bounded_batches", _STEPS.format(cut="held > 0 AND held + more > 1000", more="o.bytes", name="batch"))
 def _batches(spark, sf_dir):
     return _fold(_frames(spark, sf_dir), "pack", ["frame"], ["bytes"], "batch", lambda p: folds.bounded_batches(p["bytes"].tolist(), 1000))
 
 
-@_r.query("m32_prefetch_split")
+@_r.query("m32_prefetch_split", _STEPS.format(cut="n >= 256 OR held + more > 2000", more="CASE WHEN o.page = w.page THEN 0 ELSE o.bytes END", name="batch"))
 def _prefetch(spark, sf_dir):
     return _fold(_frames(spark, sf_dir), "pack", ["frame"], ["bytes"], "batch", lambda p: folds.prefetch_batches(zip((p["frame"] // 4).tolist(), p["bytes"].tolist()), 256, 2000))
 
 
-_r.sql(
+@_r.query(
     "m29_frame_chunks",
     """SELECT pack, chunk, count(*) AS pages, min(page) AS first_page, max(page) AS last_page FROM
-       (SELECT l_suppkey AS pack, l_orderkey AS page, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1) {div} 16 AS chunk FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_discount > 0) q) t GROUP BY pack, chunk""",
+       (SELECT l_suppkey AS pack, l_orderkey AS page, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) - 1) // 16 AS chunk FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_discount > 0) q) t GROUP BY pack, chunk""",
 )
+def _chunks(spark, sf_dir):
+    """Sixteen pages of a pack to a frame, in page order."""
+    pages = table(spark, sf_dir, "lineitem").where("l_discount > 0").select(F.col("l_suppkey").alias("pack"), F.col("l_orderkey").alias("page")).distinct()
+    placed = positions(pages, ["page"], ["pack"]).groupBy("pack", F.expr("pos div 16").alias("chunk"))
+    return placed.agg(F.count(F.lit(1)).alias("pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
 
 # ---- reports ----
 
-_r.sql("m34_cache_size", "SELECT s_suppkey, least(CAST(s_acctbal * 100 AS BIGINT) {div} 5, 250000 {div} 2) AS cache_bytes FROM supplier")
+_r.sql("m34_cache_size", "SELECT s_suppkey, least(CAST(round(s_acctbal * 100) AS BIGINT) {div} 5, 250000 {div} 2) AS cache_bytes FROM supplier")
 _r.sql(
     "m35_typed_fingerprint",
     """SELECT o_orderstatus, count(*) AS n, CAST(sum(length(r)) AS BIGINT) AS bytes, CAST(sum({spark:CAST(conv(substr(md5(r), 1, 12), 16, 10) AS BIGINT)}{duck:('0x' || substr(md5(r), 1, 12))::BIGINT}) AS BIGINT) AS fingerprint
@@ -274,23 +322,31 @@ _r.sql(
 )
 
 
-@_r.query("m37_coverage", "SELECT * FROM (VALUES ('customer', 'table', 1, 2), ('nation', 'table', 1, 2), ('orders', 'table', 1, 2), ('region', 'table', 1, 2)) AS t(name, kind, access_paths, cases)")
+@_r.query(
+    "m37_coverage",
+    """SELECT table_name AS name, count(*) AS columns, count(CASE WHEN k THEN 1 END) AS access_paths, 2 * count(CASE WHEN k THEN 1 END) AS cases,
+              CASE WHEN count(CASE WHEN k THEN 1 END) = 0 THEN 'no integer key' ELSE 'tested' END AS reason
+       FROM (SELECT table_name, data_type IN ('BIGINT', 'INTEGER') AND (ends_with(column_name, 'key') OR ends_with(column_name, '_id')) AS k FROM information_schema.columns
+             WHERE table_schema = 'main' AND table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')) t GROUP BY table_name""",
+)
 def _coverage(spark, sf_dir):
-    """Per table: kind, access paths (the key) and the cases each path is tried with (point and range)."""
-    rows = [(n, "table", 1, 2) for n in ("customer", "nation", "orders", "region") if table(spark, sf_dir, n).schema.fields]
-    return spark.createDataFrame(rows, "name string, kind string, access_paths int, cases int")
+    """From the catalog: of each table its integer keys, each tried by a point and a range, or why it is skipped."""
+    fields = [(n, f.name, f.dataType.simpleString()) for n in NAMES for f in table(spark, sf_dir, n).schema]
+    key = F.col("type").isin("bigint", "int") & (F.col("column").endswith("key") | F.col("column").endswith("_id"))
+    paths = F.count(F.when(key, 1))
+    c = spark.createDataFrame(fields, "name string, column string, type string").groupBy("name").agg(F.count(F.lit(1)).alias("columns"), paths.alias("access_paths"))
+    return c.select("name", "columns", "access_paths", (F.col("access_paths") * 2).alias("cases"), F.when(F.col("access_paths") == 0, "no integer key").otherwise("tested").alias("reason"))
 
 
 @_r.query("m36_differential_check", "SELECT o_orderstatus, true AS same FROM orders GROUP BY o_orderstatus")
 def _differential(spark, sf_dir):
-    """The fingerprints of one statement run by two plans (hash aggregate; window over rows) agree."""
+    """The fingerprints of one statement run by two plans (SQL text; functions over 64 shares of the keys, then their sums) agree."""
     a = QUERIES["m35_typed_fingerprint"](spark, sf_dir)
     typed = [F.concat(F.lit(f"{t}"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for t, c in (("3|i", "o_orderkey"), ("|i", "o_custkey"), ("|t", "o_orderpriority"))]
-    rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(*typed).alias("r"))
-    part = W.partitionBy("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_orderkey") % 64).alias("share"), F.concat(*typed).alias("r"))
     value = F.conv(F.substring(F.md5("r"), 1, 12), 16, 10).cast("long")
-    whole = {"n": F.count(F.lit(1)).over(part), "bytes": F.sum(F.length("r")).over(part), "fingerprint": F.sum(value).over(part)}
-    return agreement(a, rows.withColumns(whole).select("o_orderstatus", *whole).distinct())
+    shares = rows.groupBy("o_orderstatus", "share").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("r")).alias("bytes"), F.sum(value).alias("fingerprint"))
+    return agreement(a, shares.groupBy("o_orderstatus").agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "fingerprint")]))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -325,15 +381,39 @@ _r.sql("m07_argmin", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retai
 # ---- the replay summary suite, over events in the shape of its read log ----
 
 _READS = "(SELECT event_type AS profile, CASE WHEN event_id % 3 = 0 THEN 'gc' WHEN event_id % 3 = 1 THEN 'rollup' ELSE 'replay' END AS phase, user_id % 10 AS workload, CAST(round(value * 100) AS BIGINT) AS ns, event_id % 64 AS fetched, user_id % 32 AS requested, event_id {div} 1000 AS seal, event_id FROM events) reads"
-_r.sql(
+def _reads(spark, sf_dir) -> DataFrame:
+    """events as a read log: profile, phase, workload, ns, fetched, requested."""
+    phase = F.element_at(F.array(F.lit("gc"), F.lit("rollup"), F.lit("replay")), (F.col("event_id") % 3 + 1).cast("int"))
+    ns = F.round(F.col("value") * 100).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("profile"), phase.alias("phase"), (F.col("user_id") % 10).alias("workload"), ns.alias("ns"), (F.col("event_id") % 64).alias("fetched"), (F.col("user_id") % 32).alias("requested")
+    )
+
+
+@_r.query(
     "m38_reads_by_phase",
-    f"SELECT profile, phase, count(*) AS queries, round(CAST(sum(ns) AS DOUBLE) / 1000, 3) AS query_seconds, round(CAST(sum(fetched) AS DOUBLE) / greatest(1, sum(requested)), 3) AS fetch_per_request FROM {_READS} GROUP BY profile, phase",
+    f"""WITH t AS (SELECT profile, phase, count(*) AS queries, sum(ns)::DOUBLE AS ns, sum(fetched)::DOUBLE AS got, sum(requested)::DOUBLE AS asked FROM {_READS} GROUP BY ALL)
+        SELECT profile, phase, queries, round(ns / 1000, 3) AS query_seconds, round(got / greatest(asked, 1), 3) AS fetch_per_request FROM t""",
 )
-_r.sql(
+def _reads_by_phase(spark, sf_dir):
+    """Totals of a phase: queries, their time, and pages fetched for each one asked for."""
+    total = lambda c: F.sum(c).cast("double")
+    sums = _reads(spark, sf_dir).groupBy("profile", "phase").agg(F.count(F.lit(1)).alias("queries"), total("ns").alias("ns"), total("fetched").alias("got"), total("requested").alias("asked"))
+    return sums.select("profile", "phase", "queries", F.round(F.col("ns") / 1000, 3).alias("query_seconds"), F.round(F.col("got") / F.greatest("asked", F.lit(1.0)), 3).alias("fetch_per_request"))
+
+
+@_r.query(
     "m38_latency",
-    f"""SELECT profile, phase, workload, max(n) AS samples, round(avg(CASE WHEN pos IN ((n + 1) {{div}} 2, (n + 2) {{div}} 2) THEN ns END) / 1000, 3) AS median_us, round(max(CASE WHEN pos = (95 * n + 99) {{div}} 100 THEN ns END) / 1000.0E0, 3) AS p95_us
-        FROM (SELECT profile, phase, workload, ns, row_number() OVER (PARTITION BY profile, phase, workload ORDER BY ns, event_id) AS pos, count(*) OVER (PARTITION BY profile, phase, workload) AS n FROM {_READS}) t GROUP BY profile, phase, workload""",
+    f"""WITH v AS (SELECT profile, phase, workload, list_sort(list(ns)) AS xs FROM {_READS} GROUP BY ALL)
+        SELECT profile, phase, workload, len(xs) AS samples, round((xs[(len(xs) + 1) // 2] + xs[(len(xs) + 2) // 2]) / 2 / 1000, 3) AS median_us, round(xs[(95 * len(xs) + 99) // 100] / 1000, 3) AS p95_us FROM v""",
 )
+def _latency(spark, sf_dir):
+    """Median and 95th percentile of each workload by position, from counts per distinct time: no group is sorted whole."""
+    at = by_position(_reads(spark, sf_dir), ["profile", "phase", "workload"], "ns", {"low": "(n + 1) div 2", "high": "(n + 2) div 2", "p95": "(95 * n + 99) div 100"})
+    us = lambda x: F.round(x / 1000, 3)
+    return at.select("profile", "phase", "workload", F.col("n").alias("samples"), us((F.col("low") + F.col("high")) / 2).alias("median_us"), us(F.col("p95")).alias("p95_us"))
+
+
 _r.sql("m38_connections", f"SELECT profile, phase, count(*) AS fresh_connections, CAST(sum(requested) AS BIGINT) AS cases_sum, round(CAST(sum(ns) AS DOUBLE) / count(*) / 1000, 3) AS mean_open_us FROM {_READS} WHERE workload = 0 GROUP BY profile, phase")
 _r.sql("m38_batches", f"SELECT profile, count(*) AS batches, CAST(sum(ns) AS BIGINT) AS open_ns, CAST(sum(fetched) AS BIGINT) AS page_writes, CAST(sum(requested) AS BIGINT) AS spills FROM {_READS} GROUP BY profile")
 _r.sql("m38_operations", f"SELECT profile, phase, round(CAST(sum(ns) AS DOUBLE) / 1000, 3) AS operation_us, round(CAST(sum(fetched) AS DOUBLE) / 1024, 3) AS new_kib, round(CAST(sum(requested) AS DOUBLE) / 1024, 3) AS removed_kib FROM {_READS} GROUP BY profile, phase")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +15,8 @@ QUERIES, ORACLES = _r.queries, _r.oracles
 
 #: Leading hex digits of a digest that the cutoff histogram looks at.
 _PREFIX = 4
+#: Sizes that a dictionary may have, in KiB.
+DICTIONARY_KIB = (8, 16, 32, 64, 128, 256, 512, 768)
 
 
 def reservoir(rows: DataFrame, budget: int) -> DataFrame:
@@ -72,7 +72,7 @@ def _hold(spark, sf_dir):
 
 def dictionary_sizes(training: int, ceiling: int) -> list[int]:
     """The two largest sizes, 8 to 768 KiB, of at most a hundredth of the training bytes and of the ceiling."""
-    return sorted(s for s in (k << 10 for k in (8, 16, 32, 64, 128, 256, 512, 768)) if s <= min(training // 100, ceiling))[-2:]
+    return sorted(s for s in (k << 10 for k in DICTIONARY_KIB) if s <= min(training // 100, ceiling))[-2:]
 
 
 @_r.query(
@@ -81,20 +81,16 @@ def dictionary_sizes(training: int, ceiling: int) -> list[int]:
 )
 def _tiers(spark, sf_dir):
     t = table(spark, sf_dir, "documents").groupBy("lang").agg((F.sum(F.length("text")) * 10).alias("training"))
-    sizes = F.array(*[F.lit(k << 10).cast("long") for k in (8, 16, 32, 64, 128, 256, 512, 768)])
+    sizes = F.array(*[F.lit(k << 10).cast("long") for k in DICTIONARY_KIB])
     return t.select("lang", F.explode(F.slice(F.reverse(F.filter(sizes, lambda s: s <= F.least(F.expr("training div 100"), F.lit(524288)))), 1, 2)).alias("size"))
 
 
 def compressed(data: bytes, dictionary: bytes | None = None) -> int:
-    """Bytes after compression: zstandard where it is installed, else zlib (level 3 both)."""
-    try:
-        import zstandard
+    """Bytes after compression by zstandard at level 3, with the dictionary as raw content."""
+    import zstandard
 
-        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
-        return len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(data))
-    except ImportError:
-        c = zlib.compressobj(3, zdict=dictionary) if dictionary else zlib.compressobj(3)
-        return len(c.compress(data) + c.flush())
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+    return len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(data))
 
 
 def probe_windows(length: int) -> list[tuple[int, int]]:
@@ -139,6 +135,48 @@ def _encode(spark, sf_dir):
     return encode_choice(table(spark, sf_dir, "documents"), None)
 
 
+#: Bytes of the deterministic sample that dictionaries are cut from.
+SAMPLE_BYTES = 1 << 20
+
+
+def sampled_dictionary(spark, sf_dir, size: int = 1 << 16) -> bytes:
+    """Raw content for a dictionary: the texts of the reservoir sample in digest order, their last size bytes (what
+    stands last is the cheapest to refer to). The sample is bounded, so it may come to the driver."""
+    picked = reservoir(_distinct(_texts(spark, sf_dir)), SAMPLE_BYTES).select("digest")
+    d = table(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    rows = d.join(F.broadcast(picked), "digest").groupBy("digest").agg(F.first("text").alias("text")).orderBy("digest").collect()
+    return "".join(r.text for r in rows).encode()[-size:]
+
+
+@_r.query("m28_dictionary_encode")
+def _with_dictionary(spark, sf_dir):
+    """Each text by a dictionary cut from the sample, or raw where that saves nothing."""
+    return encode_choice(table(spark, sf_dir, "documents"), sampled_dictionary(spark, sf_dir))
+
+
+@_r.query("m25_trained_dictionary")
+def _trained(spark, sf_dir):
+    """Four dictionaries of 8 to 64 KiB from one sample; what each makes of the texts that were not sampled is measured
+    on the executors, and the cheapest is taken if it saves a twentieth of what no dictionary costs."""
+    whole = sampled_dictionary(spark, sf_dir)
+    sampled = reservoir(_distinct(_texts(spark, sf_dir)), SAMPLE_BYTES).select("digest")
+    rest = table(spark, sf_dir, "documents").where("text is not null").withColumn("digest", F.md5(F.col("text").cast("binary"))).join(F.broadcast(sampled), "digest", "left_anti")
+    names = {s: whole[-s:] for s in (1 << 13, 1 << 14, 1 << 15, 1 << 16)}
+
+    @F.pandas_udf("struct<plain: long, s13: long, s14: long, s15: long, s16: long>")
+    def sizes(s: pd.Series) -> pd.DataFrame:
+        data = [x.encode() for x in s]
+        out = {"plain": [compressed(x) for x in data]}
+        for n, d in names.items():
+            out[f"s{n.bit_length() - 1}"] = [compressed(x, d) for x in data]
+        return pd.DataFrame(out)
+
+    r = rest.select(sizes("text").alias("s")).agg(*[F.sum(f"s.{c}").alias(c) for c in ("plain", "s13", "s14", "s15", "s16")], F.count(F.lit(1)).alias("n")).first()
+    rows = [(n, r[f"s{n.bit_length() - 1}"] or 0, 1, 1, len(d)) for n, d in names.items()]
+    costs = spark.createDataFrame(rows, "id long, payload long, logical long, heldout long, added long")
+    return select_dictionary(costs, r.plain or 0)
+
+
 def select_dictionary(costs: DataFrame, previous: int) -> DataFrame:
     """Cheapest candidate by (cost, id), if it saves 5 % at least; costs: id, payload, added, logical, heldout."""
     cost = F.col("payload") * F.col("logical") + F.col("added") * F.col("heldout")

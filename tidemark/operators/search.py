@@ -1,7 +1,7 @@
 """T family: postings, phrase and prefix matching, tiered BM25 ranking, snippets, HTML to text.
 
-Postings are (term, doc, col, offset); a query touches only the postings of its own terms, so the term filter comes
-before every aggregate. Scores follow the published BM25 formula (k1 = 1.2, b = 0.75) over weighted term frequencies,
+Postings are (term, doc, col, offset). A query over plain texts picks its own terms inside each text's array of words, so
+that no other word becomes a row; an Index has all postings as files, of which a query reads its terms' buckets only. Scores follow the published BM25 formula (k1 = 1.2, b = 0.75) over weighted term frequencies,
 negated so that better hits sort first.
 """
 
@@ -10,11 +10,13 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import textual
+from tidemark.functions.stemming import stem
 from tidemark.plans.dialect import Registry
+from tidemark.sources.scratch import scratch, written
 from tidemark.sources.tables import table
 
 _r = Registry()
@@ -29,11 +31,66 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """term, doc, col, offset (from 0)."""
+def asked(parsed: textual.Parsed) -> tuple[list[str], list[str]]:
+    """Words and prefixes that any mode of a search may look up: the last word also stands for a prefix."""
+    prefixes = {u.words[-1] for u in parsed.units if u.prefix} | {parsed.units[-1].words[-1]}
+    return sorted({w for u in parsed.units for w in u.words}), sorted(prefixes)
+
+
+def _is_asked(term: Column, words: list[str], prefixes: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [term.startswith(x) for x in prefixes], term.isin(words))
+
+
+def postings(docs: DataFrame, key: str, columns: list[str], parsed: textual.Parsed | None = None) -> DataFrame:
+    """term, doc, col, offset (from 0); with parsed only the terms that it asks for, which become rows of their own."""
     parts = F.array(*[F.struct(F.lit(c).alias("col"), terms_of(F.col(c)).alias("terms")) for c in columns])
     each = docs.select(F.col(key).alias("doc"), F.explode(parts).alias("p"))
-    return each.select("doc", F.col("p.col").alias("col"), F.posexplode("p.terms").alias("offset", "term")).select("term", "doc", "col", "offset")
+    if parsed is None:
+        return each.select("doc", F.col("p.col").alias("col"), F.posexplode("p.terms").alias("offset", "term")).select("term", "doc", "col", "offset")
+    placed = F.transform("p.terms", lambda t, i: F.struct(t.alias("term"), i.alias("offset")))
+    mine = F.filter(placed, lambda x: _is_asked(x.term, *asked(parsed)))
+    return each.select("doc", F.col("p.col").alias("col"), F.explode(mine).alias("x")).select("x.term", "doc", "col", "x.offset")
+
+
+class Index:
+    """Stored postings (bucket, term, doc, col, offset) and document lengths.
+
+    A bucket holds the terms whose first two characters hash alike, so that a word or a prefix of two letters is looked
+    up in one bucket; in it files are ranges of (term, doc), so that statistics skip what lies beside the term.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.lengths = spark.read.parquet(f"{self.path}/lengths")
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str, columns: list[str], path: str, buckets: int = BUCKETS) -> "Index":
+        """columns: title and body, or body alone."""
+        path, sizes = path.rstrip("/"), [F.size(terms_of(F.col(c))).alias(f"{n}_len") for c, n in zip(columns, ("title", "body")[-len(columns) :])]
+        if len(columns) == 1:
+            sizes = [F.lit(0).alias("title_len"), *sizes]
+        docs.select(F.col(key).alias("doc"), *sizes).write.parquet(f"{path}/lengths")
+        placed = postings(docs, key, columns).withColumn("bucket", cls._bucket(F.col("term"), buckets))
+        rows = placed.repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc", "col", "offset")
+        rows.write.partitionBy("bucket").parquet(f"{path}/postings-{buckets}")
+        return cls(docs.sparkSession, path)
+
+    @staticmethod
+    def _bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(buckets)).cast("int")
+
+    def postings(self, parsed: textual.Parsed | None = None) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/postings-{self.BUCKETS}")
+        if parsed is not None:
+            words, prefixes = asked(parsed)
+            wanted = [*words, *prefixes]
+            if all(len(w) >= 2 for w in prefixes):
+                here = self.spark.createDataFrame([(w,) for w in wanted], "term string").select(self._bucket(F.col("term"), self.BUCKETS).alias("b")).distinct().collect()
+                rows = rows.where(F.col("bucket").isin([r.b for r in here]))
+            rows = rows.where(_is_asked(F.col("term"), words, prefixes))
+        return rows.select("term", "doc", "col", "offset")
 
 
 def _alike(unit: textual.Unit, last: bool) -> Column:
@@ -102,13 +159,26 @@ def lengths(docs: DataFrame, key: str, title: str, body: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.size(terms_of(F.col(title))).alias("title_len"), F.size(terms_of(F.col(body))).alias("body_len"))
 
 
-def search(docs: DataFrame, key: str, title: str, body: str, text: str, page: int = 0, size: int = 20) -> DataFrame:
-    """One page of ranked hits: doc, title, tier, score, mode, and the body of this page's hits only."""
+def digest(docs: DataFrame, key: str, title: str, body: str, parsed: textual.Parsed) -> tuple[DataFrame, DataFrame]:
+    """Postings that parsed asks for, and all lengths, from one pass over the texts: both are read again from what it wrote."""
+    words = docs.select(F.col(key).alias("doc"), terms_of(F.col(title)).alias("title"), terms_of(F.col(body)).alias("body"))
+
+    def placed(c: str) -> Column:
+        return F.transform(c, lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("offset")))
+
+    mine = F.filter(F.concat(placed("title"), placed("body")), lambda x: _is_asked(x.term, *asked(parsed)))
+    facts = written(words.select("doc", F.size("title").alias("title_len"), F.size("body").alias("body_len"), mine.alias("hits")))
+    return facts.select("doc", F.explode("hits").alias("x")).select("x.term", "doc", "x.col", "x.offset"), facts.select("doc", "title_len", "body_len")
+
+
+def search(docs: DataFrame, key: str, title: str, body: str, text: str, page: int = 0, size: int = 20, index: Index | None = None) -> DataFrame:
+    """One page of ranked hits: doc, title, tier, score, mode, and the body of this page's hits only. With an index of
+    docs no text is read but theirs."""
     parsed = textual.parse_query(text)
     named = docs.select(F.col(key).alias("doc"), F.col(title).alias("title"), F.col(body).alias("body"))
-    post = postings(named, "doc", ["title", "body"])
+    post, sizes = (index.postings(parsed), index.lengths) if index else digest(docs, key, title, body, parsed)
     mode, hits = ladder(post, parsed)
-    ranked = hits.join(bm25(post, lengths(named, "doc", "title", "body"), parsed), "doc", "left").join(named.select("doc", "title"), "doc")
+    ranked = hits.join(bm25(post, sizes, parsed), "doc", "left").join(named.select("doc", "title"), "doc")
     ranked = ranked.select("doc", "title", tier(F.col("title"), parsed.title).alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"))
     last = max(0, -(-ranked.count() // size) - 1)
     top = ranked.orderBy("tier", "score", F.lower("title"), "doc").offset(max(0, min(page, last)) * size).limit(size)
@@ -122,8 +192,13 @@ p AS (SELECT doc, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM w)
 """
 
 
-def _post(spark, sf_dir) -> DataFrame:
-    return postings(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id", ["body"])
+def _post(spark, sf_dir, parsed: textual.Parsed | None = None) -> DataFrame:
+    return postings(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id", ["body"], parsed)
+
+
+def _matching(spark, sf_dir, text: str, mode: str = "all") -> DataFrame:
+    parsed = textual.parse_query(text)
+    return match(written(_post(spark, sf_dir, parsed)), parsed, mode)
 
 
 @_r.query("t01_query_parser", "SELECT * FROM (VALUES (0, 'of the', false), (1, 'tion', true), (2, 'plain', false)) AS t(place, unit, prefix)")
@@ -134,33 +209,36 @@ def _parser(spark, sf_dir):
 
 @_r.query("t02_match_all", _P + "SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc WHERE a.term = 'license' AND b.term = 'under'")
 def _all(spark, sf_dir):
-    return match(_post(spark, sf_dir), textual.parse_query("license under"))
+    return _matching(spark, sf_dir, "license under")
 
 
 @_r.query("t02_match_prefix", _P + "SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc WHERE a.term = 'under' AND b.term LIKE 'licen%'")
 def _prefix(spark, sf_dir):
-    return match(_post(spark, sf_dir), textual.parse_query("under licen"), "prefix")
+    return _matching(spark, sf_dir, "under licen", "prefix")
 
 
 @_r.query("t02_match_any", _P + "SELECT DISTINCT doc FROM p WHERE term IN ('apache', 'reserved')")
 def _any(spark, sf_dir):
-    return match(_post(spark, sf_dir), textual.parse_query("apache reserved"), "any")
+    return _matching(spark, sf_dir, "apache reserved", "any")
 
 
 @_r.query("t03_fallback_ladder", _P + "SELECT 'prefix' AS mode, count(DISTINCT a.doc) AS hits FROM p a JOIN p b ON a.doc = b.doc WHERE a.term = 'under' AND b.term LIKE 'licens%'")
 def _ladder(spark, sf_dir):
-    mode, hits = ladder(_post(spark, sf_dir), textual.parse_query("under licens"))
+    parsed = textual.parse_query("under licens")
+    mode, hits = ladder(written(_post(spark, sf_dir, parsed)), parsed)
     return hits.agg(F.count(F.lit(1)).alias("hits")).select(F.lit(mode).alias("mode"), "hits")
 
 
 @_r.query("t04_phrase_match", _P + "SELECT DISTINCT a.doc FROM p a JOIN p b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN p c ON a.doc = c.doc AND c.pos = a.pos + 2 WHERE a.term = 'all' AND b.term = 'rights' AND c.term = 'reserved'")
 def _phrase(spark, sf_dir):
-    return match(_post(spark, sf_dir), textual.parse_query('"all rights reserved"'))
+    return _matching(spark, sf_dir, '"all rights reserved"')
 
 
 @_r.query("t04_term_first_rows", _P + "SELECT DISTINCT doc FROM p WHERE term = 'the' ORDER BY doc LIMIT 32")
 def _first(spark, sf_dir):
-    return match(_post(spark, sf_dir), textual.parse_query("the")).orderBy("doc").limit(32)
+    """Term rows in document order: which texts have the word is decided inside each, and no postings are made."""
+    d = table(spark, sf_dir, "documents").where(F.array_contains(terms_of(F.col("text")), "the"))
+    return d.select(F.col("doc_id").alias("doc")).distinct().orderBy("doc").limit(32)
 
 
 @_r.query("t05_vocabulary", _P + "SELECT term, count(DISTINCT doc) AS docs, count(*) AS instances FROM p GROUP BY term")
@@ -171,7 +249,7 @@ def _vocabulary(spark, sf_dir):
 
 @_r.query("t05_instances", _P + "SELECT term, doc, pos AS \"offset\" FROM p WHERE term LIKE 'lic%'")
 def _instances(spark, sf_dir):
-    return _post(spark, sf_dir).where(F.col("term").startswith("lic")).select("term", "doc", "offset")
+    return _post(spark, sf_dir, textual.parse_query("lic*")).select("term", "doc", "offset")
 
 
 _BM = (
@@ -184,8 +262,9 @@ _BM = (
 
 @_r.query("t06_bm25", _BM)
 def _bm25(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit("").alias("title"), F.col("text").alias("body"))
-    return bm25(postings(d, "doc", ["body"]), lengths(d, "doc", "title", "body"), textual.parse_query("license under"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    parsed = textual.parse_query("license under")
+    return bm25(*digest(d, "doc_id", "title", "body", parsed), parsed)
 
 
 @_r.query("t07_tiered_ranking", "SELECT doc_id AS doc, CASE WHEN source = 'src1' THEN 0 WHEN starts_with(source, 'src1') THEN 1 WHEN contains(source, 'src1') THEN 2 ELSE 3 END AS tier FROM documents")
@@ -193,13 +272,31 @@ def _tiers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), tier(F.col("source"), "SRC1").alias("tier"))
 
 
-@_r.query("s23_search_page")
+_PAGE = r"""WITH w AS (SELECT doc_id AS doc, source AS title, list_filter(regexp_split_to_array(lower(coalesce(source, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS tt,
+                  list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS bt FROM documents),
+  p AS (SELECT doc, unnest(tt) AS term, 10.0 AS weight FROM w UNION ALL SELECT doc, unnest(bt), 1.0 FROM w),
+  tf AS (SELECT term, doc, sum(weight)::DOUBLE AS tf FROM p WHERE term IN ('license', 'under') GROUP BY term, doc), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  l AS (SELECT doc, title, len(tt) + len(bt) AS dl FROM w), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
+  m AS (SELECT doc FROM tf GROUP BY doc HAVING count(*) = 2)
+  SELECT doc, title, 3 AS tier, score, 'all' AS mode FROM (SELECT tf.doc, title, round(-sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM tf JOIN df USING (term) JOIN l USING (doc) JOIN m USING (doc), s GROUP BY tf.doc, title) x ORDER BY score, lower(title), doc LIMIT 20"""
+
+
+@_r.query("s23_search_page", _PAGE)
 def _page(spark, sf_dir):
     """Matches joined to their rows by key in order of rank; bodies are read for one page of hits."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
     return search(d, "doc_id", "title", "body", "license under").drop("body")
 
 
+@_r.query("s23_indexed_page", _PAGE)
+def _indexed(spark, sf_dir):
+    """The same page from stored postings: of the texts only this page's are read."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("body"))
+    index = Index.build(d, "doc_id", ["title", "body"], scratch(spark))
+    return search(d, "doc_id", "title", "body", "license under", index=index).drop("body")
+
+
 @_r.query("t08_like_fallback", "SELECT page_id, url, 0 AS score FROM pages WHERE lower(url) LIKE '%a!_%' ESCAPE '!' OR lower(url) LIKE '%example%'")
 def _like(spark, sf_dir):
     u = F.lower("url")
@@ -233,20 +330,72 @@ def _html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", plain("html").alias("text"))
 
 
+def grams_of(text: Column) -> Column:
+    """Different runs of three characters, lower-cased. Characters are split once: a substring at each place would walk
+    the text anew every time."""
+    c = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
+    runs = F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
+    return F.array_distinct(runs)
+
+
+def substring_search(docs: DataFrame, key: str, column: str, needle: str, grams: DataFrame | None = None) -> DataFrame:
+    """doc of every row whose column holds needle, whatever its case. grams (gram, doc) are stored trigrams: rows that
+    have all of needle's are candidates, and only they are read; without it, and for shorter needles, texts are scanned."""
+    needle = needle.lower()
+    wanted = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
+    rows = docs.select(F.col(key).alias("doc"), F.col(column).alias("text"))
+    if grams is not None and wanted:
+        near = grams.where(F.col("gram").isin(wanted)).groupBy("doc").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted))
+        rows = rows.join(near.select("doc"), "doc", "left_semi")
+    return rows.where(F.contains(F.lower("text"), F.lit(needle))).select("doc").distinct()
+
+
+def trigrams(docs: DataFrame, key: str, column: str) -> DataFrame:
+    return docs.select(F.explode(grams_of(F.col(column))).alias("gram"), F.col(key).alias("doc"))
+
+
 @_r.query(
     "t12_trigrams",
-    "WITH s AS (SELECT DISTINCT lower(source) AS s FROM documents), g AS (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM s) SELECT substr(s, i, 3) AS gram, count(DISTINCT s) AS titles FROM g GROUP BY substr(s, i, 3)",
+    "WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents), g AS (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM s) SELECT substr(s, i, 3) AS gram, count(DISTINCT doc_id) AS docs FROM g GROUP BY substr(s, i, 3)",
 )
 def _trigrams(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.lower("source").alias("s")).distinct().where("length(s) >= 3")
-    g = s.select("s", F.explode(F.expr("transform(sequence(1, length(s) - 2), i -> substr(s, i, 3))")).alias("gram"))
-    return g.groupBy("gram").agg(F.count_distinct("s").alias("titles"))
+    return trigrams(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("gram").agg(F.count_distinct("doc").alias("docs"))
+
+
+@_r.query("t12_substring_search", "SELECT DISTINCT doc_id AS doc FROM documents WHERE contains(lower(text), 'nsed under th')")
+def _substring(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return substring_search(d, "doc_id", "text", "nsed UNDER th", written(trigrams(d, "doc_id", "text")))
+
+
+def normalised(post: DataFrame, how) -> DataFrame:
+    """Postings under another form of their terms: the form is made once for each different term, not for each place."""
+    @F.pandas_udf("string")
+    def form(s: pd.Series) -> pd.Series:
+        return s.map(how)
+
+    forms = post.select("term").distinct().select(F.col("term").alias("_t"), form("term").alias("_f"))
+    return post.join(forms, F.col("term") == F.col("_t")).select(F.col("_f").alias("term"), "doc", "col", "offset")
+
+
+@_r.query("t13_folded_vocabulary", _P + "SELECT strip_accents(term) AS term, count(DISTINCT doc) AS docs, count(*) AS instances FROM p GROUP BY strip_accents(term)")
+def _folded(spark, sf_dir):
+    """Terms without their accents."""
+    each = normalised(_post(spark, sf_dir), textual.fold).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("instances"))
 
 
-@_r.query("s56_derived_index", _P.replace("lower(coalesce(text, ''))", "lower(CASE WHEN doc_id % 50 = 0 THEN 'fresh words here' ELSE coalesce(text, '') END)") + "SELECT term, count(*) AS n FROM p WHERE doc % 10 = 0 GROUP BY term")
+@_r.query("t13_stemmed_match", _P + "SELECT DISTINCT doc FROM p WHERE term IN ('license', 'licensed', 'licenses', 'licensing', 'licens')")
+def _stemmed(spark, sf_dir):
+    """Any form of a word finds every other one."""
+    post = _post(spark, sf_dir, textual.parse_query("licens*"))
+    return normalised(post, stem).where(F.col("term") == stem("licensing")).select("doc").distinct()
+
+
+@_r.query("s56_derived_index", _P.replace("lower(coalesce(text, ''))", "lower(CASE WHEN doc_id % 50 = 0 THEN 'fresh words here' ELSE coalesce(text, '') END)") + "SELECT term, count(*) AS n FROM p GROUP BY term")
 def _derived(spark, sf_dir):
     """After an update only changed documents' postings are computed anew and replace the old ones."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select("doc_id", F.col("text").alias("body"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     changed = d.where("doc_id % 50 = 0").withColumn("body", F.lit("fresh words here"))
     kept = postings(d, "doc_id", ["body"]).join(changed.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
     return kept.unionByName(postings(changed, "doc_id", ["body"])).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
@@ -267,3 +416,24 @@ def _session(spark, sf_dir):
         rows = st.all({"r": 2})
         m = db.stats()
     return spark.createDataFrame([("get", one.n), ("all", len(rows)), ("queries", m.queries - 1), ("errors", m.errors)], "call string, n long")
+
+
+@_r.query(
+    "t15_query_metrics",
+    "SELECT 'all' AS call, (SELECT count(*) FROM nation WHERE n_regionkey = 2) AS n, 1::BIGINT AS files, 0::BIGINT AS errors UNION ALL SELECT 'one', 1, 1, 0 UNION ALL SELECT 'none', 1, 0, 0 UNION ALL SELECT 'error', 0, 0, 1 UNION ALL SELECT 'total', (SELECT count(*) + 2 FROM nation WHERE n_regionkey = 2), 2, 1",
+)
+def _query_metrics(spark, sf_dir):
+    """What each query of a session adds: rows, files that its scans read, errors; and their totals."""
+    from tidemark.plans.session import QueryError, Session
+
+    with Session(spark, sf_dir) as db:
+        out = {}
+        calls = {"all": lambda: db.all("SELECT n_name FROM nation WHERE n_regionkey = 2"), "one": lambda: db.get("SELECT count(*) AS n FROM region"), "none": lambda: db.get("SELECT 1 AS x"), "error": lambda: db.all("SELECT * FROM nation", max_rows=3)}
+        for name, call in calls.items():
+            try:
+                call()
+            except QueryError:
+                pass
+            out[name] = db.last
+        out["total"] = db.stats()
+    return spark.createDataFrame([(k, m.rows, m.files, m.errors) for k, m in out.items()], "call string, n long, files long, errors long")
