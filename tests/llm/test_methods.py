@@ -115,7 +115,7 @@ def test_recall_on_the_drivers_documents(spark, small, size):
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     links = exact_links(texts, size)
     got = {r.doc_id: r.component_id for r in neardup.report(docs, shingle=size).collect()}
-    bands = collections.Counter((min(9, int(s * 20) - 7), got[a] == got[b]) for a, b, s in links)
+    bands = collections.Counter((min(3, int(s * 20) - 16), got[a] == got[b]) for a, b, s in links)
     assert len(links) > 1000 and not [b for b in bands if not b[1]] and len({b for b, _ in bands}) >= 3
     label = {d: d for d, _ in texts}
 

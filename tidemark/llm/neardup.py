@@ -37,7 +37,7 @@ HASHES = TREES * DEPTH
 #: Least common prefix of neighbours in a sparse region, and how many rows behind share it in a crowded one.
 SHALLOW, CROWD = 4, 8
 #: Shingles (8 bytes each) and rows of a block.
-BLOCK_SHINGLES, BLOCK_ROWS = 200_000, 512
+BLOCK_SHINGLES, BLOCK_ROWS = 200_000, 128
 #: Pivots of a region in the first round, and in any.
 PIVOTS, MOST_PIVOTS = 64, 4096
 _LAST = 2**63 - 1
