@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.functions import folds, textual
 from tidemark.plans.session import QueryError, Session, bound, is_read_only
+from tidemark.sources.store import Store
 
 
 def test_coalesce_bounds():
@@ -127,3 +128,29 @@ def test_snippet_window_is_the_best_one():
 
         best = max((max(0, s[0] - 80) for s in spans), key=lambda lo: (value(lo), -lo))
         assert abs(text.find(got["text"], max(0, best - 1)) - best) <= 41 or got["text"] in text[: best + 341]
+
+
+def test_lru_by_slices_is_the_whole_trace(spark):
+    from tidemark.operators.iotrace import lru_cache
+
+    r = random.Random(4)
+    rows = [(k, t, r.choice([r.randint(0, 12), r.randint(0, 400)])) for k in ("a", "b") for t in range(1500)] + [("c", 1, 5)]
+    d = spark.createDataFrame(rows, "kind string, clock long, page long")
+    for capacity in (1, 10, 64):
+        got = {x.kind: (x.hits, x.misses, x.evicted) for x in lru_cache(d, capacity).collect()}
+        assert got == {k: folds.lru([p for q, _, p in rows if q == k], capacity) for k in "abc"}
+
+
+def test_command_line(spark, small, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    assert main(["list"]) == 0 and "s01_full_scan" in capsys.readouterr().out.split()
+    assert main(["sql", small, "SELECT n_name FROM nation ORDER BY 1 LIMIT 2"], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 2
+    assert main(["sql", small, "DROP TABLE nation"], spark) == 1 and main(["run", "nothing", small], spark) == 2
+    assert main(["run", "s07_values", small], spark) == 0
+    s = Store(spark, f"file://{tmp_path}/s", "v bigint")
+    s.put(spark.createDataFrame([(1, 2)], "page long, v long"))
+    s.seal()
+    capsys.readouterr()
+    assert main(["inspect", s.backend.path, "v bigint"], spark) == 0 and '"puts": 1' in capsys.readouterr().out

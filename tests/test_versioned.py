@@ -133,6 +133,25 @@ def test_one_of_many_writers_creates_an_object(spark, tmp_path):
     assert set(b.names()) == {f"root.{k}.json" for k in range(5)}
 
 
+def test_failed_swaps_are_read_again(spark, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/u", VALUES)
+    put = type(s.backend).put_new
+
+    def arrives(self, name, data):
+        put(self, name, data)
+        raise OSError("no answer")
+
+    def lost(self, name, data):
+        raise OSError("no answer")
+
+    monkeypatch.setattr(type(s.backend), "put_new", arrives)
+    assert s.swap_at(0, s.root) == "applied" and s.root["revision"] == 1
+    monkeypatch.setattr(type(s.backend), "put_new", lost)
+    assert s.swap(lambda r: r) == "uncertain" and s.root["revision"] == 1
+    with pytest.raises(StoreError):
+        s.configure(max_runs=3)
+
+
 def test_rename_overwrites_nothing(spark, tmp_path):
     """What other file systems than the local one do."""
     b = Store(spark, f"file://{tmp_path}/r", VALUES).backend
@@ -255,8 +274,13 @@ def test_missing_object_stops_collection(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/m", VALUES)
     s.put(spark.createDataFrame([(1, 1)], "page long, v long"))
     s.seal()
-    s.backend.delete(s.view().manifest["runs"][0]["object"], True)
-    with pytest.raises(StoreError):
+    obj = s.view().manifest["runs"][0]["object"]
+    assert s.collect(grace=0) is not None
+    spark.createDataFrame([(9, "put", 9)], s.schema).write.mode("append").parquet(f"{s.backend.path}/{obj}")
+    with pytest.raises(StoreError, match="length"):
+        s.collect()
+    s.backend.delete(obj, True)
+    with pytest.raises(StoreError, match="missing"):
         s.collect()
 
 

@@ -6,6 +6,8 @@ such as the pack, and runs in order inside a group.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 
 def coalesce_bounded(ranges, gap: int, window: int, factor: int | None = None, single: int | None = None):
     """Merge sorted, distinct (start, end) while the gap, the merged size and (factor) the waste stay in bounds.
@@ -75,20 +77,18 @@ def prefetch_batches(pages, max_pages: int, max_bytes: int):
     return out
 
 
-def lru(trace, capacity: int):
-    """Hits, misses, evictions of a page cache over a trace of pages."""
-    from collections import OrderedDict
-
-    cache: OrderedDict = OrderedDict()
+def lru(trace, capacity: int, cache=()):
+    """Hits, misses, evictions of a page cache over a trace of pages; cache: what it holds before, longest unused first."""
+    held: OrderedDict = OrderedDict((p, True) for p in cache)
     hits = misses = evicted = 0
     for p in trace:
-        if p in cache:
-            cache.move_to_end(p)
+        if p in held:
+            held.move_to_end(p)
             hits += 1
-        else:
-            misses += 1
-            cache[p] = True
-            if len(cache) > capacity:
-                cache.popitem(last=False)
-                evicted += 1
+            continue
+        misses += 1
+        held[p] = True
+        if len(held) > capacity:
+            held.popitem(last=False)
+            evicted += 1
     return hits, misses, evicted

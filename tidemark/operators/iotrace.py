@@ -31,13 +31,42 @@ _r.sql(
 )
 
 
+def lru_cache(trace: DataFrame, capacity: int) -> DataFrame:
+    """kind, hits, misses, evicted of one cache per kind over trace (kind, clock, page).
+
+    A trace is cut into slices of its clock, simulated side by side. What the cache holds where a slice begins are the
+    last capacity different pages before it, so each slice says which its own last ones are (capacity rows at most), and
+    these are laid over one another from slice to slice.
+    """
+    dealt = written(trace.select("kind", "clock", "page").repartitionByRange("kind", "clock").withColumn("slice", F.spark_partition_id()))
+    last = dealt.groupBy("kind", "slice", "page").agg(F.max("clock").alias("clock"))
+    recent = last.withColumn("r", F.row_number().over(W.partitionBy("kind", "slice").orderBy(F.desc("clock")))).where(F.col("r") <= capacity)
+
+    def carry(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        out = []
+        for slice_, part in pdf.sort_values(["slice", "clock"]).groupby("slice", sort=True):
+            out.append((key[0], slice_, list(held)))
+            for p in part["page"].tolist():
+                held.pop(p, None)
+                held[p] = True
+            held = dict.fromkeys(list(held)[-capacity:])
+        return pd.DataFrame(out, columns=["kind", "slice", "held"])
+
+    def run(key, part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        h, m, e = folds.lru(part.sort_values("clock")["page"].tolist(), capacity, held["held"].iloc[0])
+        return pd.DataFrame({"kind": [key[0]], "hits": [h], "misses": [m], "evicted": [e]})
+
+    kinds = dict(trace.dtypes)
+    before = written(recent.select("kind", "slice", "clock", "page").groupBy("kind").applyInPandas(carry, f"kind {kinds['kind']}, slice int, held array<{kinds['page']}>"))
+    each = dealt.groupBy("kind", "slice").cogroup(before.groupBy("kind", "slice")).applyInPandas(run, f"kind {kinds['kind']}, hits long, misses long, evicted long")
+    return each.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "evicted")])
+
+
 @_r.query("m33_lru_simulation")
 def _lru(spark, sf_dir):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        h, m, e = folds.lru(pdf.sort_values("event_id")["user_id"].tolist(), 64)
-        return pd.DataFrame({"event_type": [key[0]], "hits": [h], "misses": [m], "evicted": [e]})
-
-    return _events(spark, sf_dir).select("event_type", "event_id", "user_id").groupBy("event_type").applyInPandas(run, "event_type string, hits long, misses long, evicted long")
+    trace = _events(spark, sf_dir).select(F.col("event_type").alias("kind"), F.col("event_id").alias("clock"), F.col("user_id").alias("page"))
+    return lru_cache(trace, 64).withColumnRenamed("kind", "event_type")
 
 
 _WINDOW, _SOON = 64, 200

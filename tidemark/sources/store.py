@@ -193,18 +193,37 @@ class Store:
         return json.loads(self.backend.read(f"root.{max(revisions)}.json").decode()) if revisions else None
 
     def swap(self, change: Callable[[dict], dict], tries: int = 5) -> str:
-        """Apply change to the newest root and publish it: applied, or stale after so many lost races."""
+        """Apply change to the newest root and publish it: applied, stale after so many lost races, or uncertain."""
         for _ in range(tries):
             now = self._latest() or self.root
             new = change(json.loads(json.dumps(now)))
             new["revision"] = now["revision"] + 1
-            if self.backend.put_new(f"root.{new['revision']}.json", json.dumps(new, sort_keys=True).encode()):
-                self.root = new
-                return "applied"
+            if (outcome := self._create_root(new)) != "stale":
+                return outcome
         return "stale"
 
+    def _create_root(self, new: dict) -> str:
+        """applied, stale (another writer's root is there), or uncertain: the file system failed, and reading again does
+        not show that the root arrived."""
+        name, data = f"root.{new['revision']}.json", json.dumps(new, sort_keys=True).encode()
+        try:
+            done = self.backend.put_new(name, data)
+        except (Py4JJavaError, OSError):
+            try:
+                if self.backend.stat(name) is None or self.backend.read(name) != data:
+                    return "uncertain"
+            except (Py4JJavaError, OSError):
+                return "uncertain"
+            done = True
+        if done:
+            self.root = new
+        return "applied" if done else "stale"
+
     def _apply(self, change: Callable[[dict], dict]) -> None:
-        if self.swap(change) != "applied":
+        outcome = self.swap(change)
+        if outcome == "uncertain":
+            raise StoreError("the file system failed; whether the change arrived shows when the store is opened again")
+        if outcome != "applied":
             raise Busy("the root kept changing")
 
     def swap_at(self, revision: int, new: dict) -> str:
@@ -212,11 +231,7 @@ class Store:
         now = self._latest()
         if now is not None and now["revision"] != revision:
             return "stale"
-        new = {**new, "revision": revision + 1}
-        if self.backend.put_new(f"root.{revision + 1}.json", json.dumps(new, sort_keys=True).encode()):
-            self.root = new
-            return "applied"
-        return "stale"
+        return self._create_root({**new, "revision": revision + 1})
 
     def _place(self, obj: str) -> str:
         return self.root["placements"].get(obj, [obj])[0]
@@ -308,7 +323,7 @@ class Store:
     def _write(self, rows: DataFrame, size: int, txid: int) -> dict:
         obj = f"run-{secrets.token_hex(8)}"
         rows.select(self.schema.fieldNames()).write.parquet(f"{self.backend.path}/{obj}")
-        return {"object": obj, "size": size, "txid": txid, **self._checksum(obj)}
+        return {"object": obj, "size": size, "txid": txid, "bytes": self.backend.stat(obj), **self._checksum(obj)}
 
     def seal(self, dictionary: str | None = None, note: Callable[[dict], dict] | None = None, byte_budget: int | None = None) -> str:
         """Publish the staged changes as one run of the head, or as a checkpoint where a run doesn't pay: the chain is
@@ -466,17 +481,21 @@ class Store:
 
     # -- maintenance --
 
+    @staticmethod
+    def _kept_manifests(root: dict) -> set[str]:
+        return {m for m in root["heads"].values() if m} | {p["manifest"] for p in root["pins"].values()}
+
     def _reached(self) -> set[str]:
         """Objects that heads and pins reach; the root holds manifests only, so this is small."""
-        roots = {m for m in self.root["heads"].values() if m} | {p["manifest"] for p in self.root["pins"].values()}
-        logical = {r["object"] for m in roots for r in self.root["manifests"][m]["runs"]}
+        logical = {r["object"] for m in self._kept_manifests(self.root) for r in self.root["manifests"][m]["runs"]}
         return {o for x in logical for o in self.root["placements"].get(x, [x])}
 
     #: Roots that stay besides the newest, so that a writer who read one of them still finds its successor taken.
     OLD_ROOTS = 64
 
     def collect(self, budget: int = 8, grace: float = 3600.0) -> list[str]:
-        """Delete the first budget objects that nothing reaches, in name order; missing objects stop it before. Staged
+        """Delete the first budget objects that nothing reaches, in name order; reached objects that are missing, or not
+        of the length that was recorded when they were sealed, stop it before anything goes. Staged
         objects of other writers stay for grace seconds. Manifests that no head and no pin has leave the root, and old
         roots go, so that metadata grows with what is kept and not with the number of seals."""
         self.refresh()
@@ -484,17 +503,19 @@ class Store:
         have = self.backend.names()
         if missing := keep - set(have):
             raise StoreError(f"missing objects: {sorted(missing)}")
+        lengths = {r["object"]: r.get("bytes") for m in self._kept_manifests(self.root) for r in self.root["manifests"][m]["runs"]}
+        if changed := sorted(o for o, n in lengths.items() if n is not None and o in have and self.backend.stat(o) != n):
+            raise StoreError(f"objects of another length than recorded: {changed}")
         since = (time.time() - grace) * 1000
         mine = {n for n in self._own if self._staged}
         free = (n for n in sorted(have) if n not in keep and (n.startswith("run-") or (n.startswith("staged-") and n not in mine and (n in self._own or have[n] < since))))
         dead = [n for _, n in zip(range(budget), free)]
         for n in dead:
             self.backend.delete(n, True)
-        roots = {m for m in self.root["heads"].values() if m} | {p["manifest"] for p in self.root["pins"].values()}
-        if set(self.root["manifests"]) - roots:
+        if set(self.root["manifests"]) - self._kept_manifests(self.root):
 
             def change(root: dict) -> dict:
-                held = {m for m in root["heads"].values() if m} | {p["manifest"] for p in root["pins"].values()}
+                held = self._kept_manifests(root)
                 root["manifests"] = {m: x for m, x in root["manifests"].items() if m in held}
                 used = {r["object"] for x in root["manifests"].values() for r in x["runs"]}
                 root["placements"] = {o: x for o, x in root["placements"].items() if o in used}
