@@ -1,8 +1,8 @@
 """License scans: exact short phrases, and fuzzy notices by pigeonhole seeds and bounded-error matching.
 
 Texts are read as lower-cased words of letters, digits and characters beyond ASCII. Base phrases are counted wherever
-their words stand in a row. A notice of n characters may differ by n // 10 edits (one at least from 12 characters on, two from 16):
-of its edits-plus-one seeds one must occur unchanged, which locates candidates; the regex library's bounded-error
+their words stand in a row. A notice of n characters may differ by n // 10 edits (one at least from 12 characters on,
+two from 16, four at most): of its edits-plus-one seeds one must occur unchanged, which locates candidates; the regex library's bounded-error
 matching then verifies the whole notice there and gives its span and edits. The words that tell a license from others
 (mit, bsd, a version) must stand unchanged inside that span, so that edits never turn one license into another.
 
@@ -28,6 +28,8 @@ BASE = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
+#: Most edits of a notice: with more, seeds of long notices would be short enough to occur in any prose.
+MOST_EDITS = 4
 #: Notices in normal form (lower case, words joined by one space), their labels, and the words that tell
 #: them from the notices of other licenses; edits never touch these.
 NOTICES = {
@@ -93,7 +95,7 @@ def notices(table: dict[str, tuple[str, str]] = NOTICES) -> list[Notice]:
     out = []
     for text, (label, must) in table.items():
         n = len(text)
-        k = max(n // 10, 2 if n >= 16 else 1 if n >= 12 else 0)
+        k = min(max(n // 10, 2 if n >= 16 else 1 if n >= 12 else 0), MOST_EDITS)
         cuts = [n * i // (k + 1) for i in range(k + 2)]
         out.append(Notice(text, label, k, tuple((text[a:b].encode(), a) for a, b in zip(cuts, cuts[1:])), frozenset(must.split())))
     return out
