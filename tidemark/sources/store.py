@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import re
 import secrets
 import time
@@ -192,9 +193,11 @@ class Store:
         revisions = [int(n.split(".")[1]) for n in names if n.split(".")[1].isdigit()]
         return json.loads(self.backend.read(f"root.{max(revisions)}.json").decode()) if revisions else None
 
-    def swap(self, change: Callable[[dict], dict], tries: int = 5) -> str:
+    def swap(self, change: Callable[[dict], dict], tries: int = 20) -> str:
         """Apply change to the newest root and publish it: applied, stale after so many lost races, or uncertain."""
-        for _ in range(tries):
+        for k in range(tries):
+            if k:  # who lost a race waits a random while, longer each time
+                time.sleep(random.uniform(0, 0.01 * 2 ** min(k, 7)))
             now = self._latest() or self.root
             new = change(json.loads(json.dumps(now)))
             new["revision"] = now["revision"] + 1
