@@ -331,11 +331,13 @@ def _html(spark, sf_dir):
 
 
 def grams_of(text: Column) -> Column:
-    """Different runs of three characters, lower-cased. Characters are split once: a substring at each place would walk
-    the text anew every time."""
-    c = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
-    runs = F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return F.array_distinct(runs)
+    """Different runs of three characters, lower-cased. Characters are split once, and bound by a lambda of their own: a
+    substring or a split for each place would walk the text anew every time."""
+
+    def runs(c: Column) -> Column:
+        return F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
+
+    return F.array_distinct(F.get(F.transform(F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), "")), runs), F.lit(0)))
 
 
 def substring_search(docs: DataFrame, key: str, column: str, needle: str, grams: DataFrame | None = None) -> DataFrame:
