@@ -25,3 +25,9 @@ def test_fingerprint_beyond_a_long(spark, tmp_path):
     row = df.first()
     assert dict(df.dtypes)["fingerprint"] == "bigint"
     assert row.n == n and row.fingerprint == (total + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def test_differential_beyond_a_long(spark, tmp_path):
+    """m36: both plans carry sums of more than 2 ** 63, and agree."""
+    path = orders(spark, tmp_path, 90_000)
+    assert [tuple(r) for r in QUERIES["m36_differential_check"](spark, path).select("o_orderstatus", "same").collect()] == [("F", True)]

@@ -346,9 +346,12 @@ def _differential(spark, sf_dir):
     a = QUERIES["m35_typed_fingerprint"](spark, sf_dir)
     typed = [F.concat(F.lit(f"{t}"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for t, c in (("3|i", "o_orderkey"), ("|i", "o_custkey"), ("|t", "o_orderpriority"))]
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_orderkey") % 64).alias("share"), F.concat(*typed).alias("r"))
-    value = F.conv(F.substring(F.md5("r"), 1, 12), 16, 10).cast("long")
+    value = F.conv(F.substring(F.md5("r"), 1, 12), 16, 10).cast("decimal(15,0)")
     shares = rows.groupBy("o_orderstatus", "share").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("r")).alias("bytes"), F.sum(value).alias("fingerprint"))
-    return agreement(a, shares.groupBy("o_orderstatus").agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "fingerprint")]))
+    sums = shares.groupBy("o_orderstatus").agg(*[F.sum(c).alias(c) for c in ("n", "bytes", "fingerprint")])
+    low = F.pmod("fingerprint", F.expr("18446744073709551616"))
+    signed = F.when(low >= F.expr("9223372036854775808"), low - F.expr("18446744073709551616")).otherwise(low)
+    return agreement(a, sums.withColumn("fingerprint", signed.cast("long")))
 
 
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
