@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import textual
+from tidemark.functions import blocks, textual
 from tidemark.functions.stemming import stem
 from tidemark.plans.dialect import Registry
 from tidemark.sources.scratch import scratch, written
@@ -330,38 +332,73 @@ def _html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", plain("html").alias("text"))
 
 
-def grams_of(text: Column) -> Column:
-    """Different runs of three characters, lower-cased. Characters are split once, and bound by a lambda of their own: a
-    substring or a split for each place would walk the text anew every time."""
+#: Bytes of text, and words, that are counted at once.
+_TEXT_BLOCK, _WORD_BLOCK = 4 << 20, 1 << 20
 
-    def runs(c: Column) -> Column:
-        return F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
 
-    return F.array_distinct(F.get(F.transform(F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), "")), runs), F.lit(0)))
+def _single(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key no other row has, and the rest (a key more than once, or none), None where there is no such row.
+    Of the first, a count of rows is a count of keys, and no key has to be shuffled with what it holds."""
+    again = written(docs.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR _k IS NULL").select("_k"))
+    if again.isEmpty():
+        return docs, None
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    return docs.join(again, same, "left_anti"), docs.join(again, same, "left_semi")
+
+
+def _lowered(docs: DataFrame, column: str) -> Column:
+    blocks.bounded(docs.sparkSession)
+    return F.lower(F.coalesce(F.col(column), F.lit(""))).alias("text")
+
+
+def trigrams(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """gram, docs: different runs of three lower-cased characters, with the keys of a block's texts that have each, once a
+    row of docs. A gram has a row in every block that knows it."""
+
+    def run(batches):
+        for b in blocks.gathered(batches, blocks.text_sizes(1), _TEXT_BLOCK):
+            for runs, offsets, texts in blocks.grams(b.column(1)):
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), b.column(0).take(pa.array(texts)))
+                yield pa.RecordBatch.from_arrays([pa.array(runs), lists], ["gram", "docs"])
+
+    rows = docs.select(F.col(key).alias("doc"), _lowered(docs, column))
+    return rows.mapInArrow(run, f"gram string, docs array<{dict(rows.dtypes)['doc']}>")
+
+
+def gram_counts(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """gram, docs: how many different keys have each run of three lower-cased characters."""
+
+    def run(batches):
+        for b in blocks.gathered(batches, blocks.text_sizes(0), _TEXT_BLOCK):
+            for runs, offsets, _ in blocks.grams(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(runs), pa.array(np.diff(offsets), pa.int64())], ["gram", "docs"])
+
+    single, again = _single(docs, key)
+    n = single.select(_lowered(single, column)).mapInArrow(run, "gram string, docs long")
+    if again is not None:
+        n = n.unionByName(trigrams(again, key, column).select("gram", F.explode("docs").alias("doc")).groupBy("gram").agg(F.count_distinct("doc").alias("docs")))
+    return n.groupBy("gram").agg(F.sum("docs").alias("docs"))
 
 
 def substring_search(docs: DataFrame, key: str, column: str, needle: str, grams: DataFrame | None = None) -> DataFrame:
-    """doc of every row whose column holds needle, whatever its case. grams (gram, doc) are stored trigrams: rows that
+    """doc of every row whose column holds needle, whatever its case. grams (gram, docs) are stored trigrams: rows that
     have all of needle's are candidates, and only they are read; without it, and for shorter needles, texts are scanned."""
     needle = needle.lower()
     wanted = sorted({needle[i : i + 3] for i in range(len(needle) - 2)})
     rows = docs.select(F.col(key).alias("doc"), F.col(column).alias("text"))
     if grams is not None and wanted:
-        near = grams.where(F.col("gram").isin(wanted)).groupBy("doc").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted))
+        held = grams.where(F.col("gram").isin(wanted)).select("gram", F.explode("docs").alias("doc"))
+        near = held.groupBy("doc").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted))
         rows = rows.join(near.select("doc"), "doc", "left_semi")
     return rows.where(F.contains(F.lower("text"), F.lit(needle))).select("doc").distinct()
 
 
-def trigrams(docs: DataFrame, key: str, column: str) -> DataFrame:
-    return docs.select(F.explode(grams_of(F.col(column))).alias("gram"), F.col(key).alias("doc"))
-
-
 @_r.query(
     "t12_trigrams",
     "WITH s AS (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents), g AS (SELECT doc_id, s, unnest(range(1, length(s) - 1)) AS i FROM s) SELECT substr(s, i, 3) AS gram, count(DISTINCT doc_id) AS docs FROM g GROUP BY substr(s, i, 3)",
 )
 def _trigrams(spark, sf_dir):
-    return trigrams(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("gram").agg(F.count_distinct("doc").alias("docs"))
+    return gram_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @_r.query("t12_substring_search", "SELECT DISTINCT doc_id AS doc FROM documents WHERE contains(lower(text), 'nsed under th')")
