@@ -7,6 +7,7 @@ from collections import defaultdict
 import pyarrow as pa
 
 from tidemark.functions import blocks
+from tidemark.operators import search
 from tidemark.plans.registry import all_queries
 
 QUERIES = all_queries()
@@ -77,3 +78,17 @@ def test_trigrams_of_a_wide_alphabet():
     texts = ["".join(every[i::16]) for i in range(16)]
     seen = {(g, t) for runs, offs, of in blocks.grams(pa.array(texts)) for k, g in enumerate(runs) for t in of[offs[k] : offs[k + 1]].tolist()}
     assert seen == {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+
+
+def test_stored_trigrams_are_lists_by_block(spark, tmp_path):
+    """t12: a stored row is a trigram of a block with all its texts, and a search over them is a scan's result."""
+    rows, path = odd_documents(spark, tmp_path)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stored = search.trigrams(docs, "doc_id", "text")
+    assert dict(stored.dtypes) == {"gram": "string", "docs": "array<bigint>"}
+    pairs = sorted((r.gram, d is None, d or 0) for r in stored.collect() for d in r.docs)
+    assert pairs == sorted((g, d is None, d or 0) for d, t in rows for g in {(t or "").lower()[i : i + 3] for i in range(len(t or "") - 2)})
+    for needle in ("bé\U0001f600", "ABA", "a中 ", "ab"):
+        want = {d for d, t in rows if needle.lower() in (t or "").lower()}
+        near = {r.doc for r in search.substring_search(docs, "doc_id", "text", needle, stored).collect()}
+        assert near == want

@@ -389,7 +389,7 @@ def substring_search(docs: DataFrame, key: str, column: str, needle: str, grams:
     if grams is not None and wanted:
         held = grams.where(F.col("gram").isin(wanted)).select("gram", F.explode("docs").alias("doc"))
         near = held.groupBy("doc").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted))
-        rows = rows.join(near.select("doc"), "doc", "left_semi")
+        rows = rows.join(near.select(F.col("doc").alias("_d")), F.col("doc").eqNullSafe(F.col("_d")), "left_semi")
     return rows.where(F.contains(F.lower("text"), F.lit(needle))).select("doc").distinct()
 
 
