@@ -7,7 +7,7 @@ from collections import defaultdict
 import pyarrow as pa
 
 from tidemark.functions import blocks
-from tidemark.operators import search
+from tidemark.operators import maintenance, search
 from tidemark.plans.registry import all_queries
 
 QUERIES = all_queries()
@@ -92,3 +92,35 @@ def test_stored_trigrams_are_lists_by_block(spark, tmp_path):
         want = {d for d, t in rows if needle.lower() in (t or "").lower()}
         near = {r.doc for r in search.substring_search(docs, "doc_id", "text", needle, stored).collect()}
         assert near == want
+
+
+def test_islands_over_many_slices(spark):
+    """m19: slices' number follows the rows, and a blob, a long range or a missing value may lie over any border."""
+    r = random.Random(2)
+    rows = [(b, s, s + r.choice([-5, 0, 3, 8, 400])) for b in (1, 1, 1, 2, 3, 4) for s in [r.randint(0, 9000) for _ in range(150)]]
+    rows += [(1, 0, 2500), (5, 10, 10), (5, 10, 10)] + [(6, 3, 9)] * 40
+    want = []
+    for b in {x[0] for x in rows}:
+        top = None
+        for _, s, e in sorted({x for x in rows if x[0] == b}):
+            if top is None or s > top:
+                want.append([b, s, e, 0])
+            want[-1][2:] = [max(want[-1][2], e), want[-1][3] + 1]
+            top = e if top is None else max(top, e)
+    d = spark.createDataFrame(rows, "blob long, start long, end long")
+    for slice_rows in (7, 60, 10_000):
+        assert sorted(map(list, maintenance.islands(d, slice_rows).collect())) == sorted(want)
+    odd = [(None, 5, 9), (None, 7, 12), (7, None, 5), (7, 1, None)]
+    got = maintenance.islands(d.unionByName(spark.createDataFrame(odd, d.schema)), 60).collect()
+    assert sorted(list(x) for x in got if x.blob is not None and x.blob < 7) == sorted(want) and (None, 5, 12, 2) in map(tuple, got)
+
+
+def test_islands_of_batches_of_any_size():
+    r = random.Random(3)
+    rows = sorted((b, s, s + r.choice([-2, 0, 5, 90])) for b in range(5) for s in [r.randint(0, 600) for _ in range(80)])
+    whole = None
+    for size in (1, 3, 64, 1000):
+        cuts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + size])], ["blob", "start", "end"]) for i in range(0, len(rows), size)]
+        got = [tuple(x.values()) for b in blocks.islands(cuts) for x in b.to_pylist()]
+        whole = whole or got
+        assert got == whole and sum(x[3] for x in got) == len(set(rows))

@@ -119,3 +119,49 @@ def counts(lists: pa.Array, how: Callable[[str], str] | None, known: dict[str, s
     pairs.sort()
     pairs = pairs[_first(pairs)]
     return words, np.bincount(pairs // max(n, 1), minlength=len(words)), np.bincount(codes, minlength=len(words))
+
+
+def islands(batches) -> Iterator[pa.RecordBatch]:
+    """blob, start, end, parts of overlapping or adjacent ranges, from batches (blob, start, end) in that order: one island
+    and the greatest end of its blob are carried from batch to batch. Equal ranges count once."""
+    names = ["blob", "start", "end", "parts"]
+    open_ = None  # blob, start, end, parts of the open island, greatest end of its blob, last range
+    for b in batches:
+        if not b.num_rows:
+            continue
+        blob, start, end = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = pc.not_equal(blob.slice(1), blob.slice(0, len(blob) - 1)).to_numpy(zero_copy_only=False)
+        held = pa.array([], blob.type) if open_ is None else pa.array([open_[0]], blob.type)
+        last = None
+        if open_ is not None:
+            fresh[0] = blob[0].as_py() != open_[0]
+            last = open_[5]
+        again = np.zeros(len(start), bool)
+        again[1:] = ~fresh[1:] & (start[1:] == start[:-1]) & (end[1:] == end[:-1])
+        again[0] = not fresh[0] and last == (start[0], end[0])
+        of = np.cumsum(fresh)[~again]
+        last = (start[-1], end[-1])
+        start, end, blob = start[~again], end[~again], blob.filter(pa.array(~again))
+        ones = np.ones(len(start), np.int64)
+        reach = end
+        if open_ is not None:
+            of, start, end, ones, reach = (np.append(np.int64(x), y) for x, y in zip((0, open_[1], open_[2], open_[3], open_[4]), (of, start, end, ones, end)))
+        n = len(start)
+        order = np.argsort(reach, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        upto = reach[order[np.maximum.accumulate(of * n + rank) - of * n]]  # a greater of starts the maximum anew
+        new = np.ones(n, bool)
+        new[1:] = (of[1:] != of[:-1]) | (start[1:] > upto[:-1])
+        heads = np.flatnonzero(new)
+        all_blobs = pa.concat_arrays([held, blob])
+        tops, parts = np.maximum.reduceat(end, heads), np.add.reduceat(ones, heads)
+        if len(heads) > 1:
+            done = heads[:-1]
+            yield pa.RecordBatch.from_arrays([all_blobs.take(pa.array(done)), pa.array(start[done]), pa.array(tops[:-1]), pa.array(parts[:-1])], names)
+        h = heads[-1]
+        open_ = (all_blobs[int(h)].as_py(), start[h], tops[-1], parts[-1], upto[-1], last)
+        kind = blob.type
+    if open_ is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([open_[0]], kind), *[pa.array([int(x)], pa.int64()) for x in open_[1:4]]], names)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidemark.functions import folds
+from tidemark.functions import blocks, folds
 from tidemark.functions.ordered import positions
 from tidemark.plans.dialect import Registry
 from tidemark.sources.scratch import written
@@ -211,8 +211,27 @@ def _ranges(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("blob"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end"))
 
 
-def islands(ranges: DataFrame) -> DataFrame:
-    """Overlapping or adjacent ranges of a blob become one: blob, start, end, parts."""
+#: Fixed value: ranges of a slice, which is what one task sorts.
+SLICE = 500_000
+
+
+def islands(ranges: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """Overlapping or adjacent ranges of a blob become one: blob, start, end, parts.
+
+    Ranges are range-dealt in order into slices, whose number follows the rows, and walked once in each; a blob may go over
+    many slices. Islands of a slice that an earlier slice's greatest end still reaches go to the last island before.
+    """
+    whole = F.col("blob").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+    seen = ranges.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~whole, 1)).alias("odd")).first()
+    if not seen.odd:
+        return _islands_by_slice(ranges, -(-seen.n // slice_rows))
+    odd = F.broadcast(ranges.where(~whole).select(F.col("blob").alias("_b")).distinct())
+    same = F.col("blob").eqNullSafe(F.col("_b"))
+    return _islands_by_slice(ranges.join(odd, same, "left_anti"), -(-seen.n // slice_rows)).unionByName(_islands_by_window(ranges.join(odd, same, "left_semi")))
+
+
+def _islands_by_window(ranges: DataFrame) -> DataFrame:
+    """The same with a blob in a task, for blobs with ranges whose start or end is missing."""
     by = W.partitionBy("blob").orderBy("start", "end")
     prev = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     marked = ranges.distinct().withColumn("new", F.when(prev.isNull() | (F.col("start") > prev), 1).otherwise(0))
@@ -220,6 +239,25 @@ def islands(ranges: DataFrame) -> DataFrame:
     return numbered.groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("island")
 
 
+def _islands_by_slice(ranges: DataFrame, slices: int) -> DataFrame:
+    order, names = ["blob", "start", "end"], ["blob", "start", "end", "parts"]
+    dealt = ranges.select("blob", F.col("start").cast("long"), F.col("end").cast("long")).repartitionByRange(max(1, slices), *order).sortWithinPartitions(*order)
+    local = written(dealt.mapInArrow(blocks.islands, f"blob {dict(dealt.dtypes)['blob']}, start long, end long, parts long").withColumn("slice", F.spark_partition_id()))
+    if slices < 2:
+        return local.select(*names)
+    # a border between two slices cuts one blob at most: what follows about cut blobs has two rows a border
+    cut = F.broadcast(local.groupBy("blob").agg(F.min("slice").alias("a"), F.max("slice").alias("b")).where("a < b").select("blob"))
+    mine = local.join(cut, "blob", "left_semi")
+    before = W.partitionBy("blob").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    reach = mine.groupBy("blob", "slice").agg(F.max("end").alias("top")).withColumn("reach", F.max("top").over(before))
+    marked = mine.join(F.broadcast(reach.drop("top")), ["blob", "slice"]).withColumn("head", F.col("reach").isNull() | (F.col("start") > F.col("reach")))
+    heads = marked.where("head")
+    facts = marked.groupBy("blob", "slice").agg(F.max(F.when(F.col("head"), F.col("start"))).alias("at"), F.max(F.when(~F.col("head"), F.col("end"))).alias("_end"), F.sum(F.when(~F.col("head"), F.col("parts"))).alias("_parts"))
+    more = facts.withColumn("start", F.max("at").over(before)).where("_parts IS NOT NULL").groupBy("blob", "start").agg(F.max("_end").alias("_end"), F.sum("_parts").alias("_parts"))
+    joined = heads.join(F.broadcast(more), ["blob", "start"], "left").select("blob", "start", F.greatest("end", "_end").alias("end"), (F.col("parts") + F.coalesce("_parts", F.lit(0))).alias("parts"))
+    return local.join(cut, "blob", "left_anti").select(*names).unionByName(joined)
+
+
 @_r.query(
     "m19_islands",
     """WITH r AS (SELECT DISTINCT l_suppkey AS blob, l_orderkey AS start, l_orderkey + l_quantity::BIGINT AS stop FROM lineitem),
