@@ -2,11 +2,12 @@
 
 import hashlib
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 
-from tidemark.functions import blocks
+from tidemark.functions import blocks, textual
 from tidemark.operators import maintenance, search
 from tidemark.plans.registry import all_queries
 
@@ -124,3 +125,20 @@ def test_islands_of_batches_of_any_size():
         got = [tuple(x.values()) for b in blocks.islands(cuts) for x in b.to_pylist()]
         whole = whole or got
         assert got == whole and sum(x[3] for x in got) == len(set(rows))
+
+
+def test_vocabulary_of_odd_documents(spark, tmp_path):
+    """t05, t13: keys that stand twice or not at all; words are counted in blocks before they are shuffled."""
+    rows, path = odd_documents(spark, tmp_path)
+    for name, how in (("t05_vocabulary", str), ("t13_folded_vocabulary", textual.fold)):
+        docs, instances = defaultdict(set), Counter()
+        for d, t in rows:
+            for w in re.findall(r"[^\W_]+", (t or "").lower()):
+                docs[how(w)].add(d)
+                instances[how(w)] += 1
+        df = QUERIES[name](spark, path)
+        assert {r.term: (r.docs, r.instances) for r in df.collect()} == {w: (len(d - {None}), instances[w]) for w, d in docs.items()}
+    spark.createDataFrame([(i, "Été one two two") for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/plain/documents.parquet")
+    df = QUERIES["t13_folded_vocabulary"](spark, f"{tmp_path}/plain")
+    assert sorted(map(tuple, df.collect())) == [("ete", 20, 20), ("one", 20, 20), ("two", 20, 40)]
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()

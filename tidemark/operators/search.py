@@ -245,8 +245,7 @@ def _first(spark, sf_dir):
 
 @_r.query("t05_vocabulary", _P + "SELECT term, count(DISTINCT doc) AS docs, count(*) AS instances FROM p GROUP BY term")
 def _vocabulary(spark, sf_dir):
-    each = _post(spark, sf_dir).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("instances"))
+    return vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @_r.query("t05_instances", _P + "SELECT term, doc, pos AS \"offset\" FROM p WHERE term LIKE 'lic%'")
@@ -417,11 +416,30 @@ def normalised(post: DataFrame, how) -> DataFrame:
     return post.join(forms, F.col("term") == F.col("_t")).select(F.col("_f").alias("term"), "doc", "col", "offset")
 
 
+def vocabulary(docs: DataFrame, key: str, column: str, how=None) -> DataFrame:
+    """term, docs, instances: each different term (in the form that how gives it), how many different keys have it, and how
+    often it stands. Words are counted in blocks of texts, so that only a block's different terms become rows."""
+
+    def run(batches):
+        known: dict[str, str] = {}
+        for b in blocks.gathered(batches, blocks.list_sizes(0), _WORD_BLOCK):
+            terms, n, instances = blocks.counts(b.column(0), how, known)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array(instances, pa.int64())], ["term", "docs", "instances"])
+
+    blocks.bounded(docs.sparkSession)
+    single, again = _single(docs, key)
+    n = single.select(terms_of(F.col(column)).alias("terms")).mapInArrow(run, "term string, docs long, instances long")
+    if again is not None:
+        post = postings(again, key, [column])
+        post = normalised(post, how) if how is not None else post
+        n = n.unionByName(post.groupBy("term").agg(F.count_distinct("doc").alias("docs"), F.count(F.lit(1)).alias("instances")))
+    return n.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("instances").alias("instances"))
+
+
 @_r.query("t13_folded_vocabulary", _P + "SELECT strip_accents(term) AS term, count(DISTINCT doc) AS docs, count(*) AS instances FROM p GROUP BY strip_accents(term)")
 def _folded(spark, sf_dir):
     """Terms without their accents."""
-    each = normalised(_post(spark, sf_dir), textual.fold).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("instances"))
+    return vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text", textual.fold)
 
 
 @_r.query("t13_stemmed_match", _P + "SELECT DISTINCT doc FROM p WHERE term IN ('license', 'licensed', 'licenses', 'licensing', 'licens')")
