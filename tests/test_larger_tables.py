@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 
 from tidemark.functions import blocks, textual
-from tidemark.operators import maintenance, search
+from tidemark.operators import maintenance, sampling, search
 from tidemark.plans.registry import all_queries
 
 QUERIES = all_queries()
@@ -142,3 +142,20 @@ def test_vocabulary_of_odd_documents(spark, tmp_path):
     df = QUERIES["t13_folded_vocabulary"](spark, f"{tmp_path}/plain")
     assert sorted(map(tuple, df.collect())) == [("ete", 20, 20), ("one", 20, 20), ("two", 20, 40)]
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_compressed_in_bounded_batches(spark, tmp_path):
+    """m27, m28: no worker gets the 10,000 rows that a batch has by default, and empty, missing and long texts stay."""
+    rows = [(0, None), (1, ""), (2, "ab" * 700_000), *[(i, f"text {i} " * (i % 90)) for i in range(3, 900)]]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("m28_encode_choice", "m27_compressibility_probe"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        df = QUERIES[name](spark, str(tmp_path))
+        assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+        got = {r.doc_id: r for r in df.collect()}
+        assert len(got) == len(rows)
+        for d, t in rows:
+            data = (t or "").encode()
+            want = (d, sampling.worth_compressing(data)) if name.startswith("m27") else (d, None if t is None else len(data), *sampling.encoding(data, None))
+            assert tuple(got[d]) == want

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions import blocks
 from tidemark.plans.dialect import Registry
 from tidemark.sources.tables import table
 
@@ -115,19 +116,32 @@ def encoding(data: bytes, dictionary: bytes | None) -> tuple[str, int]:
     return ("dictionary" if dictionary else "plain", n) if n < len(data) else ("raw", len(data))
 
 
-def encode_choice(df: DataFrame, dictionary: bytes | None) -> DataFrame:
-    @F.pandas_udf("struct<encoding: string, stored: long>")
-    def choose(s: pd.Series) -> pd.DataFrame:
-        out = [encoding((x or "").encode(), dictionary) for x in s]
-        return pd.DataFrame({"encoding": [x[0] for x in out], "stored": [x[1] for x in out]})
+#: Fixed value: bytes of text that a worker compresses at once.
+_BLOCK = 1 << 20
+
+
+def each_text(df: DataFrame, f, names: list[str], kinds: str, keep: int) -> DataFrame:
+    """The first columns of df (keep of them) and what f makes of the bytes of its last one, a text: a tuple of names.
+    Arrow batches and what is held of them are bounded, however many rows a partition has."""
+
+    def run(batches):
+        for b in blocks.gathered(batches, blocks.text_sizes(keep), _BLOCK):
+            made = [f(x or b"") for x in b.column(keep).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], *map(pa.array, zip(*made))], [*b.schema.names[:keep], *names])
 
-    return df.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), choose("text").alias("c")).select("doc_id", "bytes", "c.encoding", "c.stored")
+    blocks.bounded(df.sparkSession)
+    held = "".join(f"`{c}` {t}, " for c, t in df.dtypes[:keep])
+    return df.mapInArrow(run, held + kinds)
+
+
+def encode_choice(df: DataFrame, dictionary: bytes | None) -> DataFrame:
+    rows = df.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "text")
+    return each_text(rows, lambda x: encoding(x, dictionary), ["encoding", "stored"], "encoding string, stored long", 2)
 
 
 @_r.query("m27_compressibility_probe")
 def _probe(spark, sf_dir):
-    worth = F.pandas_udf(lambda s: s.map(lambda x: worth_compressing((x or "").encode())), "boolean")
-    return table(spark, sf_dir, "documents").select("doc_id", worth("text").alias("worth"))
+    return each_text(table(spark, sf_dir, "documents").select("doc_id", "text"), lambda x: (worth_compressing(x),), ["worth"], "worth boolean", 1)
 
 
 @_r.query("m28_encode_choice")
@@ -163,15 +177,9 @@ def _trained(spark, sf_dir):
     rest = table(spark, sf_dir, "documents").where("text is not null").withColumn("digest", F.md5(F.col("text").cast("binary"))).join(F.broadcast(sampled), "digest", "left_anti")
     names = {s: whole[-s:] for s in (1 << 13, 1 << 14, 1 << 15, 1 << 16)}
 
-    @F.pandas_udf("struct<plain: long, s13: long, s14: long, s15: long, s16: long>")
-    def sizes(s: pd.Series) -> pd.DataFrame:
-        data = [x.encode() for x in s]
-        out = {"plain": [compressed(x) for x in data]}
-        for n, d in names.items():
-            out[f"s{n.bit_length() - 1}"] = [compressed(x, d) for x in data]
-        return pd.DataFrame(out)
-
-    r = rest.select(sizes("text").alias("s")).agg(*[F.sum(f"s.{c}").alias(c) for c in ("plain", "s13", "s14", "s15", "s16")], F.count(F.lit(1)).alias("n")).first()
+    columns = ["plain", "s13", "s14", "s15", "s16"]
+    sizes = each_text(rest.select("text"), lambda x: (compressed(x), *[compressed(x, d) for d in names.values()]), columns, ", ".join(f"{c} long" for c in columns), 0)
+    r = sizes.agg(*[F.sum(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n")).first()
     rows = [(n, r[f"s{n.bit_length() - 1}"] or 0, 1, 1, len(d)) for n, d in names.items()]
     costs = spark.createDataFrame(rows, "id long, payload long, logical long, heldout long, added long")
     return select_dictionary(costs, r.plain or 0)
